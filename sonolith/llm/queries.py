@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontam import decontaminate
+from .html_extract import extract_main_text
 from .licenses import RULES, SENTENCES, detect_licenses
 from .mixing import mix
+from .warc import archive_folder, base32, read_archive, write_pages
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +25,33 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark, f"warc-{uuid.uuid4().hex}")
+    write_pages(read(spark, sf_dir, "pages"), folder, least_bytes=0)
+    back = read_archive(spark, folder)
+    full = F.col("record_type") == "response"
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    return back.select(
+        number(F.col("record_id")).alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(full, base32(F.unhex(F.sha1("payload")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect_licenses(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_known", F.size("matches").cast("long").alias("n_matches"), F.array_join("licenses", ",").alias("licenses"), F.array_join(F.transform("matches", lambda m: m["rule"]), ",").alias("rules"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"), support=0.8, least=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op7_mix_sources, op9_licenses)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_warc_round_trip, op7_mix_sources, op9_licenses, op10_main_text)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -94,5 +117,18 @@ FROM doc LEFT JOIN cnt USING (r) LEFT JOIN res USING (r) LEFT JOIN lic USING (r)
 """
 
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS sha, rpad(sha1(body), 40, '0') AS h FROM p),
+f AS (SELECT sha, min(page_id) AS first FROM d GROUP BY sha),
+q AS (SELECT page_id, payload_bytes, h, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d JOIN f USING (sha)),
+b AS (SELECT *, [CAST('0x' || substr(h, CAST(g * 10 + 1 AS BIGINT), 10) AS BIGINT) FOR g IN range(0, 4)] AS parts FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[CAST(i // 8 + 1 AS BIGINT)] >> CAST(5 * (7 - i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_warc_round_trip": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL}
