@@ -2,7 +2,7 @@
 
 Words are summed per source, the weights share out all words by water-filling under a cap of ``most`` times each source,
 and each document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the fraction of
-its source's rate. Within a stratum (a hash slice of a source, at most about ``stratum`` documents) the copies are drawn
+its source's rate. Within a stratum (a hash slice of a source, about ``stratum`` documents) the copies are drawn
 systematically over the documents in order of size, so every document keeps exactly that probability while the words
 taken stay within about one document of the stratum's target. Hot sources are many strata, never one task.
 
@@ -67,7 +67,7 @@ def targets(sources: DataFrame, weights: list[int], most: int = 3) -> DataFrame:
     return s.withColumn("target", F.least(cap.cast("double"), F.lit(float(level)) * F.col("weight").cast("double")))
 
 
-def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", stratum: int = 50_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", stratum: int = 4096, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies and taken (size times copies)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))

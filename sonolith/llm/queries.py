@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .ann import nearest
 from .common import read
 from .decontam import decontaminate
 from .html_extract import extract_main_text
@@ -25,6 +27,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark, f"warc-{uuid.uuid4().hex}")
     write_pages(read(spark, sf_dir, "pages"), folder, least_bytes=0)
@@ -41,6 +48,13 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), max_train=20_000)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect_licenses(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_known", F.size("matches").cast("long").alias("n_matches"), F.array_join("licenses", ",").alias("licenses"), F.array_join(F.transform("matches", lambda m: m["rule"]), ",").alias("rules"))
@@ -51,7 +65,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op6_warc_round_trip, op7_mix_sources, op9_licenses, op10_main_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_nearest, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -82,7 +96,7 @@ levels AS (
   SELECT CAST(words AS DOUBLE) / CAST(weights AS DOUBLE) AS level, 0 AS held, 0 AS shut FROM t WHERE weights > 0
   UNION ALL SELECT CAST(words - held AS DOUBLE) / CAST(weights - shut AS DOUBLE), held, shut FROM c, t WHERE weights > shut),
 best AS (SELECT max(level) AS level FROM levels WHERE held + level * ((SELECT weights FROM t) - shut) <= (SELECT words FROM t) * 1.000001 AND NOT EXISTS (SELECT 1 FROM c WHERE c.shut > levels.shut AND 3.0 * source_size / weight < level * 0.999999999) AND NOT EXISTS (SELECT 1 FROM c WHERE c.shut <= levels.shut AND 3.0 * source_size / weight > level * 1.000000001)),
-g AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, level * CAST(weight AS DOUBLE)) AS target, CAST(ceil(n_docs / 50000.0::DOUBLE) AS BIGINT) AS strata FROM w, best),
+g AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, level * CAST(weight AS DOUBLE)) AS target, CAST(ceil(n_docs / 4096.0::DOUBLE) AS BIGINT) AS strata FROM w, best),
 j AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, strata,
   CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
