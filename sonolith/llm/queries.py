@@ -15,6 +15,7 @@ from .decontam import decontaminate
 from .html_extract import extract_main_text
 from .licenses import RULES, SENTENCES, detect_licenses
 from .mixing import mix
+from .ngram_join import similar_groups
 from .suffix_dedup import remove_repeats
 from .warc import archive_folder, base32, read_archive, write_pages
 
@@ -39,6 +40,10 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(read(spark, sf_dir, "documents"), width=5, num=3, den=4)
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark, f"warc-{uuid.uuid4().hex}")
     write_pages(read(spark, sf_dir, "pages"), folder, least_bytes=0)
@@ -72,7 +77,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_nearest, op4_repeated_bytes, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
