@@ -14,6 +14,7 @@ from .common import read
 from .decontam import decontaminate
 from .html_extract import extract_main_text
 from .licenses import RULES, SENTENCES, detect_licenses
+from .line_dedup import drop_duplicate_lines
 from .mixing import mix
 from .ngram_join import similar_groups
 from .suffix_dedup import remove_repeats
@@ -29,6 +30,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_duplicate_lines(read(spark, sf_dir, "documents"), k=3, least=0.75, min_words=3)
+    return out.select("doc_id", "text", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -77,7 +83,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
