@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, lower_ascii, split_words
+from .common import as_rows, broadcast_if_small, cut, lower_ascii, split_words
 
 #: Whatever is neither digit, a-z nor beyond ASCII, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -106,4 +106,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, g
     """The rows of ``docs`` that share no window with any item, columns unchanged."""
     hits, _ = find_hits(docs, benchmark, window, gram, doc_id, text)
     bad = broadcast_if_small(cut(hits.select(F.col("doc_id").alias("_bad_id"), F.col("_t").alias("_bad_t")).distinct()))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_t")), "left_anti")
+    row = F.col("r")
+    return as_rows(docs).join(bad, row[doc_id].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(row[text]) == F.col("_bad_t")), "left_anti").select("r.*")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import as_rows, broadcast_if_small, cut
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
@@ -68,8 +68,9 @@ def targets(sources: DataFrame, weights: list[int], most: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", stratum: int = 4096, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies and taken (size times copies)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (size times copies) and the whole row as r."""
+    row = F.col("r")
+    d = as_rows(docs).select(row[doc_id].alias("doc_id"), row[source].alias("source"), word_count(row[text]).alias("size"), "r")
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     rated = targets(sources, weights, most).select(
         F.col("source").alias("_s"),
@@ -86,4 +87,10 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", s
     i = F.col("_i").cast("double")
     extra = F.floor(start + fraction * i) - F.floor(start + fraction * (i - 1))
     out = j.withColumn("_i", F.row_number().over(order)).withColumn("copies", (F.floor("rate") + extra).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "r")
+
+
+def emit(docs: DataFrame, weights: list[int], most: int = 3, **names) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, numbered by the column mix_copy from 1."""
+    out = mix(docs, weights, most, **names).filter("copies > 0")
+    return out.select("r.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("mix_copy"))
