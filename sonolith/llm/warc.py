@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,7 +126,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.wanted = set(options.get("columns", "record_id,record_type,url,payload_digest,payload_bytes,refers_to,payload").split(","))
-        self.bytes = int(options.get("partitionBytes".lower(), options.get("partitionBytes", 64 << 20)))
+        self.bytes = int(options.get("partitionBytes", 64 << 20))
         self.must: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -256,11 +257,13 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     )
 
 
+def _base32(shas: pd.Series) -> pd.Series:
+    return shas.map(lambda x: None if x is None else base64.b32encode(x).decode())
+
+
 def base32(sha: Column) -> Column:
-    """Upper-case base32 of 20 bytes: 32 digits of 5 bits."""
-    bits = F.concat(*[F.lpad(F.conv(F.hex(F.substring(sha, i, 5)), 16, 2), 40, "0") for i in (1, 6, 11, 16)])
-    digit = lambda i: F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), digit(i), F.lit(1))), "")
+    """Upper-case base32 of a SHA-1."""
+    return F.pandas_udf(_base32, "string")(sha)
 
 
 def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -269,9 +272,9 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     with_revisits(pages, least_bytes=least_bytes).write.format("warc").mode("overwrite").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, columns: list[str] | None = None, partition_bytes: int = 64 << 20) -> DataFrame:
     register(spark)
-    r = spark.read.format("warc")
+    r = spark.read.format("warc").option("partitionBytes", str(partition_bytes))
     df = (r.option("columns", ",".join(columns)) if columns else r).load(path)
     return df.select(*columns) if columns else df
 
