@@ -53,21 +53,20 @@ def key_profiles() -> list[tuple[int, str, list[float]]]:
     return out
 
 
-def key_estimate(chroma: list[Column]) -> Column:
-    """struct(key, conf): the best Pearson correlation of the chroma with a key profile; ("C major", -2) for constant chroma."""
-    mean = _sum(chroma) / 12.0
-    centred = [c - mean for c in chroma]
-    norm = F.sqrt(_sum([c * c for c in centred]))
-    best = None
+def key_estimate(df: DataFrame, chroma: list[Column], keep: list[str]) -> DataFrame:
+    """(keep, key, conf): the best Pearson correlation of the chroma with one of 24 profiles; ("C major", -2) for constant chroma."""
+    rows = []
     for order, name, profile in key_profiles():
-        m = sum(profile) / 12
-        own = [p - m for p in profile]
-        length = math.sqrt(sum(p * p for p in own))
-        r = F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _sum([c * p for c, p in zip(centred, own, strict=True)]) / (norm * length)))).otherwise(-2.0)
-        here = F.struct(r.alias("conf"), F.lit(-order).alias("_o"), F.lit(name).alias("key"))
-        best = [here] if best is None else [*best, here]
-    top = F.array_max(F.array(*best))
-    return F.struct(top["key"].alias("key"), top["conf"].alias("conf"))
+        centred = [p - sum(profile) / 12 for p in profile]
+        length = math.sqrt(sum(p * p for p in centred))
+        rows.append((order, name, [p / length for p in centred]))
+    profiles = F.broadcast(df.sparkSession.createDataFrame(rows, "_o int, _key string, _p array<double>"))  # 24 rows
+    c = df.select(*keep, F.array(*chroma).alias("_c")).withColumn("_m", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x) / 12.0)
+    c = c.withColumn("_c", F.transform("_c", lambda x: x - F.col("_m"))).withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
+    dot = F.aggregate(F.zip_with("_c", "_p", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    r = F.when(F.col("_n") > 1e-12, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.when(F.col("_n") > 0, F.col("_n"))))).otherwise(-2.0)
+    best = c.crossJoin(profiles).select(*keep, r.alias("_r"), "_o", "_key").groupBy(*keep).agg(F.max_by(F.struct("_key", "_r"), F.struct(F.round("_r", 9), -F.col("_o"))).alias("_b"))
+    return best.select(*keep, F.col("_b._key").alias("key"), F.col("_b._r").alias("conf"))
 
 
 def tonal_spread(df: DataFrame, album: str, chroma: list[Column]) -> DataFrame:

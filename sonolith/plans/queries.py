@@ -151,7 +151,7 @@ _PROFILES = ", ".join(f"({o}, '{n}', {p})" for o, n, p in circular.key_profiles(
 
 @query(f"WITH {_CHROMA}, k(o, name, p) AS (VALUES {_PROFILES}), r AS (SELECT vec_id, o, name, corr(w, CAST(p[i] AS DOUBLE)) AS r FROM c, k GROUP BY ALL) SELECT vec_id, arg_max(name, {{'r': round(r, 9), 'o': -o}}) AS key, {_R('max(r)')} AS conf FROM r GROUP BY vec_id")
 def key_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_t(spark, sf_dir, "embeddings").select("vec_id", circular.key_estimate(_chroma()).alias("k")).select("vec_id", "k.key", "k.conf"))
+    return _rounded(circular.key_estimate(_t(spark, sf_dir, "embeddings"), _chroma(), ["vec_id"]))
 
 
 @query(f"WITH w AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS win, event_type, count(*) AS n FROM events GROUP BY ALL), v AS (SELECT user_id, win, event_type FROM w QUALIFY row_number() OVER (PARTITION BY user_id, win ORDER BY n DESC, event_type) = 1), m AS (SELECT user_id, event_type, count(*) AS n, min(win) AS first, sum(count(*)) OVER (PARTITION BY user_id) AS t FROM v GROUP BY user_id, event_type) SELECT user_id, event_type AS modal, CASE WHEN t > 1 THEN {_R('n / t', 3)} END AS agreement, CAST(t AS BIGINT) AS n_windows FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1")
