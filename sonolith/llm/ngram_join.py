@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import as_rows, broadcast_if_small, cut
 from .components import components
 from .suffix_dedup import _arrays
 
@@ -40,22 +40,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse; grown never, a text longer than that is hashed word by word."""
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and powers of an odd base and of its inverse."""
     n = 2 * PIECE
     power = lambda b: np.multiply.accumulate(np.r_[_U(1), np.full(n, b, _U)])
     base = 0x9E3779B97F4A7C15
-    return power(_U(base)), power(_U(pow(base, -1, 2**64)))
+    return np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64), power(_U(base)), power(_U(pow(base, -1, 2**64)))
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of ``data``, lower-cased ASCII, words being runs of non-space bytes."""
+def _word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of ``data``, lower-cased ASCII, words being runs of bytes that don't separate."""
     out_start, out_hash = [], []
-    space = _SPACE[data]
+    space = separators[data]
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    values = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
-    power, inverse = _powers()
+    values, power, inverse = _powers()
     at = 0
     while at < len(start):
         stop = int(np.searchsorted(end, start[at] + PIECE, "right"))
@@ -305,7 +304,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(every: bool, num: int, den: int):
-    """(a, b): candidate pairs of each block of a group; rows come sorted by block."""
+    """(grp, block, a, b): candidate pairs of each block of a group; rows come sorted by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -322,15 +321,15 @@ def _candidates(every: bool, num: int, den: int):
             yield pairs(rest)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
+        out: list[tuple[int, int, int, int]] = []
         if len(pdf):
             g, blk = pdf["grp"].to_numpy(), pdf["block"].to_numpy()
             docs, n, label, sk = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["sketch"].tolist()
             first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (blk[1:] != blk[:-1])])
             for a, e in zip(first, np.r_[first[1:], len(g)], strict=True):
                 if e - a > 1:
-                    out.update((min(p), max(p)) for p in _forest(docs[a:e], n[a:e], sk[a:e], label[a:e], every, num, den))
-        return pd.DataFrame(list(out), columns=["a", "b"], dtype=np.int64)
+                    out += [(g[a], blk[a], min(p), max(p)) for p in _forest(docs[a:e], n[a:e], sk[a:e], label[a:e], every, num, den) if p[0] != p[1]]
+        return pd.DataFrame(out, columns=["grp", "block", "a", "b"], dtype=np.int64)
 
     return run
 
@@ -360,13 +359,14 @@ def _similar(num: int, den: int):
     return F.pandas_udf(run, "boolean")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = 4096, few: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, and component_id, the least doc_id that links of Jaccard similarity num / den or more lead to.
 
     Copies of one set are a class and take part once. Documents that share a signature form a group, whose members are
     held against each other by their sketches, blocks of at most ``block`` members at a time: a spanning forest of what
-    may be similar is verified on the whole sets, and then every pair that may be similar and still lies in different
-    components, so that no link is lost and no group is expanded into all its pairs.
+    may be similar is verified on the whole sets, first in ``few`` groups of each document, then across the components
+    so found, and where the forest held a pair that isn't similar every pair that may be and still lies in different
+    components. So no link is lost and no group is expanded into all its pairs.
 
     Defined results: null or empty texts have no shingles and are their own component; a null doc_id takes no part and
     has no component; rows that repeat a doc_id are one vertex that all their texts link. ids are integers.
@@ -391,28 +391,44 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     # a group of several parts is compared two parts at a time, each pair of parts being a block
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
     members = sized.select("grp", (F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")).alias("block"), "doc_id")
+    members = cut(members)
     verify = _similar(num, den)
 
-    def linked(labels: DataFrame | None, every: bool, done: DataFrame | None) -> DataFrame:
-        m = members.join(sketches, "doc_id")
-        m = m.withColumn("label", F.col("doc_id")) if labels is None else m.join(labels, m["doc_id"] == labels["id"], "left").withColumn("label", F.coalesce("component", "doc_id")).drop("id", "component")
-        if labels is not None:
-            open_groups = m.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("grp", "block")
-            m = m.join(open_groups, ["grp", "block"], "left_semi")
-        pairs = m.select("grp", "block", "doc_id", "n", "label", "sketch").repartition("grp", "block").sortWithinPartitions("grp", "block").mapInPandas(_candidates(every, num, den), "a long, b long").distinct()
-        pairs = cut(pairs.filter(F.col("a") != F.col("b")) if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+    def checked(rows: DataFrame, every: bool, done: DataFrame | None) -> DataFrame:
+        """(grp, block, a, b, ok) of the candidate pairs of ``rows`` (grp, block, doc_id, label), ``done`` aside."""
+        rows = rows.join(sketches, "doc_id").select("grp", "block", "doc_id", "n", "label", "sketch")
+        found = rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInPandas(_candidates(every, num, den), "grp long, block long, a long, b long")
+        found = cut(found if done is None else found.join(done, ["a", "b"], "left_anti"))
+        pairs = found.select("a", "b").distinct()
         ids = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
         sets = cut(reps.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary"))
         x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-        return cut(pairs.join(x, "a").join(y, "b").select("a", "b", verify("x", "y").alias("ok")))
-
-    first = linked(None, False, None)
-    base = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = base.unionByName(first.filter("ok").select("a", "b"))
+        tested = cut(pairs.join(x, "a").join(y, "b").select("a", "b", verify("x", "y").alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
+        return found.join(tested, ["a", "b"])
+
+    def labelled(found: DataFrame) -> DataFrame:
+        """The members of groups that still have several components."""
+        m = members.join(found, members["doc_id"] == found["id"], "left").select("grp", "block", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        several = m.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("grp", "block")
+        return m.join(several, ["grp", "block"], "left_semi")
+
+    # first each document in ``few`` of its groups, the same ones for documents that share most groups
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("grp", "block"), "grp", "block")
+    chosen = members.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= few).select("grp", "block", "doc_id", F.col("doc_id").alias("label"))
+    one = checked(chosen, False, None)
+    links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(one.filter("ok").select("a", "b"))
     found = components(links)
-    rest = linked(found, True, first.select("a", "b"))
-    if rest.filter("ok").limit(1).count():
-        found = components(links.unionByName(rest.filter("ok").select("a", "b")))
+    # then what else may be similar across components, and in groups where such a pair wasn't, every one
+    two = cut(checked(labelled(found), False, None))
+    if two.limit(1).count():
+        links = links.unionByName(two.filter("ok").select("a", "b"))
+        found = components(links)
+        failed = two.filter(~F.col("ok")).select("grp", "block").distinct()
+        if failed.limit(1).count():
+            done = one.select("a", "b").unionByName(two.select("a", "b")).distinct()
+            three = cut(checked(labelled(found).join(failed, ["grp", "block"], "left_semi"), True, done))
+            if three.filter("ok").limit(1).count():
+                found = components(links.unionByName(three.filter("ok").select("a", "b")))
     j = known.select("doc_id", "n").join(found, known["doc_id"] == found["id"], "left")
     return j.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -421,4 +437,4 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, doc_id
     """The rows of ``docs`` that are the least doc_id of their component, columns unchanged; rows without doc_id stay. Of rows that repeat it all stay."""
     found = similar_groups(docs, width, num, den, doc_id=doc_id, text=text)
     gone = broadcast_if_small(cut(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    return as_rows(docs).join(gone, F.col("r")[doc_id].cast("long") == F.col("_gone"), "left_anti").select("r.*")
