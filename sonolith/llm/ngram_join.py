@@ -31,6 +31,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 PIECE = 1 << 21
+#: Bits of a sketch for each shingle: pairs down to a similarity of about 0.71 pass the coarse ones, of 0.746 the fine ones.
+COARSE, FINE = 2, 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -160,9 +162,9 @@ def signatures(s: np.ndarray, num: int = 3, den: int = 4) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many hashes fall to each of about 2 n bits; two sets differ in at least as many elements as their sketches in bits."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+def sketch(s: np.ndarray, per: int = COARSE) -> bytes:
+    """Parities of how many hashes fall to each of about ``per`` n bits; two sets differ in at least as many elements as their sketches in bits."""
+    bits = 1 << max(6, int(per * len(s) - 1).bit_length())
     odd = np.bincount((_mix(s + _U(77)) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -172,6 +174,17 @@ def _folded(b: bytes, size: int) -> bytes:
     return b if len(b) == size else np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size)).tobytes()
 
 
+def _fitting(n: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group, by pair, the bits in which their sketches differ and whether they may be similar."""
+    size = min(map(len, sketches))
+    bits = np.frombuffer(b"".join(_folded(b, size) for b in sketches), np.uint64 if size % 8 == 0 else np.uint8).reshape(len(n), -1)
+    distance = np.zeros((len(n), len(n)), np.int32)
+    for w in range(bits.shape[1]):
+        distance += np.bitwise_count(bits[:, w, None] ^ bits[None, :, w])
+    total = n[:, None] + n[None, :]
+    return distance, (distance <= (den - num) * total // (den + num)) & (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]))
+
+
 def _forest(docs: np.ndarray, n: np.ndarray, sketches: list[bytes], labels: np.ndarray, every: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Of one group, pairs of different labels that may be similar: a shortest spanning forest of them, or all if ``every``."""
     if len(docs) == 2:
@@ -181,14 +194,8 @@ def _forest(docs: np.ndarray, n: np.ndarray, sketches: list[bytes], labels: np.n
         fits = labels[0] != labels[1] and den * lo >= num * hi and (x ^ y).bit_count() <= (den - num) * (lo + hi) // (den + num)
         return [(int(docs[0]), int(docs[1]))] if fits else []
     out: list[tuple[int, int]] = []
-    size = min(map(len, sketches))
-    bits = np.frombuffer(b"".join(_folded(b, size) for b in sketches), np.uint64 if size % 8 == 0 else np.uint8).reshape(len(docs), -1)
-    distance = np.zeros((len(docs), len(docs)), np.int32)
-    for w in range(bits.shape[1]):
-        distance += np.bitwise_count(bits[:, w, None] ^ bits[None, :, w])
-    total = n[:, None] + n[None, :]
+    distance, fits = _fitting(n, sketches, num, den)
     far = 1 << 30
-    fits = (distance <= (den - num) * total // (den + num)) & (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]))
     if every:
         i, j = np.nonzero(np.triu(fits & (labels[:, None] != labels[None, :]), 1))
         return [(int(docs[x]), int(docs[y])) for x, y in zip(i, j, strict=True)]
@@ -210,7 +217,7 @@ def _forest(docs: np.ndarray, n: np.ndarray, sketches: list[bytes], labels: np.n
                 label = np.where(label == max(a, b), min(a, b), label)
 
 
-def _described(width: int):
+def _described(width: int, per: int = COARSE):
     """Per text: doc_id, the number of shingles, two digests of the set, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +228,7 @@ def _described(width: int):
                     n.append(len(s))
                     d1.append(int(_mix(s).sum(dtype=np.uint64)) - (1 << 63))
                     d2.append(int(_mix(s ^ _U(0x5555)).sum(dtype=np.uint64)) - (1 << 63))
-                    sk.append(sketch(s) if len(s) else b"")
+                    sk.append(sketch(s, per) if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch"])
 
     return run
@@ -303,8 +310,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _candidates(every: bool, num: int, den: int):
-    """(grp, block, a, b): candidate pairs of each block of a group; rows come sorted by block."""
+def _by_block(columns: list[str], pick):
+    """``columns`` of what ``pick`` makes of each block of a group of two members or more; rows come sorted by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -316,24 +323,41 @@ def _candidates(every: bool, num: int, den: int):
             block = pdf["block"].to_numpy()
             own = (key == key[-1]) & (block == block[-1])
             rest = pdf[own]
-            yield pairs(pdf[~own])
+            yield picked(pdf[~own])
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield picked(rest)
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, int]] = []
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, ...]] = []
         if len(pdf):
             g, blk = pdf["grp"].to_numpy(), pdf["block"].to_numpy()
             docs, n, label, sk = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["sketch"].tolist()
             first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (blk[1:] != blk[:-1])])
             for a, e in zip(first, np.r_[first[1:], len(g)], strict=True):
                 if e - a > 1:
-                    out += [(g[a], blk[a], min(p), max(p)) for p in _forest(docs[a:e], n[a:e], sk[a:e], label[a:e], every, num, den) if p[0] != p[1]]
-        return pd.DataFrame(out, columns=["grp", "block", "a", "b"], dtype=np.int64)
+                    out += [(g[a], blk[a], *row) for row in pick(docs[a:e], n[a:e], sk[a:e], label[a:e])]
+        return pd.DataFrame(out, columns=columns, dtype=np.int64)
 
     return run
 
 
+def _candidates(every: bool, num: int, den: int):
+    """(grp, block, a, b): candidate pairs of each block."""
+    pick = lambda docs, n, sk, label: [(min(p), max(p)) for p in _forest(docs, n, sk, label, every, num, den) if p[0] != p[1]]
+    return _by_block(["grp", "block", "a", "b"], pick)
+
+
+def _near_others(num: int, den: int):
+    """(grp, block, doc_id, label) of the members that may be similar to one of another label."""
+
+    def pick(docs: np.ndarray, n: np.ndarray, sk: list[bytes], label: np.ndarray) -> list[tuple[int, int]]:
+        _, fits = _fitting(n, sk, num, den)
+        near = (fits & (label[:, None] != label[None, :])).any(axis=1)
+        return list(zip(docs[near].tolist(), label[near].tolist(), strict=True))
+
+    return _by_block(["grp", "block", "doc_id", "label"], pick)
+
+
 def _sets(width: int):
     """(doc_id, s): the sorted shingle hashes of each text, as bytes."""
 
@@ -394,10 +418,13 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     members = cut(members)
     verify = _similar(num, den)
 
-    def checked(rows: DataFrame, every: bool, done: DataFrame | None) -> DataFrame:
-        """(grp, block, a, b, ok) of the candidate pairs of ``rows`` (grp, block, doc_id, label), ``done`` aside."""
+    def by_block(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         rows = rows.join(sketches, "doc_id").select("grp", "block", "doc_id", "n", "label", "sketch")
-        found = rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInPandas(_candidates(every, num, den), "grp long, block long, a long, b long")
+        return rows.repartition("grp", "block").sortWithinPartitions("grp", "block")
+
+    def checked(rows: DataFrame, sketches: DataFrame, every: bool, done: DataFrame | None) -> DataFrame:
+        """(grp, block, a, b, ok) of the candidate pairs of ``rows`` (grp, block, doc_id, label), ``done`` aside."""
+        found = by_block(rows, sketches).mapInPandas(_candidates(every, num, den), "grp long, block long, a long, b long")
         found = cut(found if done is None else found.join(done, ["a", "b"], "left_anti"))
         pairs = found.select("a", "b").distinct()
         ids = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
@@ -406,27 +433,33 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
         tested = cut(pairs.join(x, "a").join(y, "b").select("a", "b", verify("x", "y").alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
         return found.join(tested, ["a", "b"])
 
-    def labelled(found: DataFrame) -> DataFrame:
+    def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
         """The members of groups that still have several components."""
-        m = members.join(found, members["doc_id"] == found["id"], "left").select("grp", "block", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        m = members.select("grp", "block", "doc_id").join(found, members["doc_id"] == found["id"], "left").select("grp", "block", "doc_id", F.coalesce("component", "doc_id").alias("label"))
         several = m.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("grp", "block")
         return m.join(several, ["grp", "block"], "left_semi")
 
     # first each document in ``few`` of its groups, the same ones for documents that share most groups
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("grp", "block"), "grp", "block")
     chosen = members.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= few).select("grp", "block", "doc_id", F.col("doc_id").alias("label"))
-    one = checked(chosen, False, None)
+    one = checked(chosen, sketches, False, None)
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(one.filter("ok").select("a", "b"))
     found = components(links)
-    # then what else may be similar across components, and in groups where such a pair wasn't, every one
-    two = cut(checked(labelled(found), False, None))
-    if two.limit(1).count():
+    # then what else may be similar across components: finer sketches of the members that the coarse ones don't tell apart
+    near = by_block(labelled(members, found), sketches).mapInPandas(_near_others(num, den), "grp long, block long, doc_id long, label long")
+    near = cut(near.distinct())
+    if near.limit(1).count():
+        own = broadcast_if_small(cut(near.select("doc_id").distinct()))
+        fine = reps.join(own, "doc_id", "left_semi").mapInArrow(_described(width, FINE), "doc_id long, n long, d1 long, d2 long, sketch binary")
+        fine = cut(fine.filter("n > 0").select("doc_id", "n", "d1", "sketch").distinct())
+        two = cut(checked(near, fine, False, None))
         links = links.unionByName(two.filter("ok").select("a", "b"))
-        found = components(links)
-        failed = two.filter(~F.col("ok")).select("grp", "block").distinct()
-        if failed.limit(1).count():
+        failed = cut(two.filter(~F.col("ok")).select("grp", "block").distinct())
+        if two.filter("ok").limit(1).count():
+            found = components(links)
+        if failed.limit(1).count():  # and in blocks where such a pair wasn't similar, every one
             done = one.select("a", "b").unionByName(two.select("a", "b")).distinct()
-            three = cut(checked(labelled(found).join(failed, ["grp", "block"], "left_semi"), True, done))
+            three = cut(checked(labelled(near.join(failed, ["grp", "block"], "left_semi"), found), fine, True, done))
             if three.filter("ok").limit(1).count():
                 found = components(links.unionByName(three.filter("ok").select("a", "b")))
     j = known.select("doc_id", "n").join(found, known["doc_id"] == found["id"], "left")
