@@ -19,17 +19,26 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+#: Edges for each partition; fewer than that are led home in one task, without a shuffle.
+EDGES = 15_000
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    ahead, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    return edges.select(F.inline(F.array(ahead, back)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every id of ``edges`` (columns a and b of one integer type, in any order and direction) the least id of its component."""
     e = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        s = _star(large)
-        small = s.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
-        e = cut(small)
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "u"))).first()
+        e = e.coalesce(state[0] // EDGES + 1)
         if state == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return e.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component"))))).distinct()
         before = state
+        large = _star(_both_ways(e)).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        s = _star(large)
+        own = F.struct("u", F.col("m").alias("v"))
+        e = cut(s.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), own))).filter("u != v").distinct())
