@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from sonolith.llm import queries as q
-from sonolith.llm.line_dedup import duplicate_lines, edit_distance, line_hashes, normalised
+from sonolith.llm.line_dedup import duplicate_lines, line_hashes, normalised
 from sonolith.llm.ngram_join import similar_groups
 from sonolith.llm.suffix_dedup import remove_repeats
 
@@ -23,6 +23,16 @@ def docs():
     return pd.read_parquet(f"{DIR}/documents.parquet").sort_values("doc_id", ignore_index=True)
 
 
+def edit_distance(a: bytes, b: bytes) -> int:
+    """Levenshtein distance by rows of the matrix."""
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (c != d))
+    return row[-1]
+
+
 def roots(n, pairs):
     up = list(range(n))
 
