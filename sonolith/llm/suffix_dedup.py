@@ -155,8 +155,16 @@ def _suffixes(pdf: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np
     row = np.repeat(np.arange(len(pdf)), n)
     i = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
     data = np.frombuffer(b"".join(pdf["b"]), np.uint8)
-    at = starts[row] + i
-    return row, pdf["far"].to_numpy()[row] - i, *(_hashes(_sums(data, k), at, at + depth, k) for k in (0, 1))
+    h0, h1 = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+    j = 0
+    while j < len(pdf):  # rows of PIECE bytes at a time, as a gram may have more bytes than there are powers
+        k = max(j + 1, int(np.searchsorted(starts + sizes, starts[j] + PIECE, "right")))
+        begin, end = starts[j], starts[k - 1] + sizes[k - 1]
+        own = slice(*np.searchsorted(row, (j, k)))
+        at = starts[row[own]] + i[own] - begin
+        h0[own], h1[own] = (_hashes(_sums(data[begin:end], which), at, at + depth, which) for which in (0, 1))
+        j = k
+    return row, pdf["far"].to_numpy()[row] - i, h0, h1
 
 
 def _spans(pdf: pd.DataFrame, row: np.ndarray, distance: np.ndarray, repeated: np.ndarray, depth: int) -> pd.DataFrame:

@@ -137,3 +137,20 @@ def test_sha_of_kept(spark):
     docs = spark.createDataFrame([(1, "x" * 50 + "abc"), (2, "y" * 10)], "doc_id long, text string")
     out = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs, depth=40).collect()}
     assert out == {1: b"abc", 2: b"y" * 10} and len(hashlib.sha256(out[1]).hexdigest()) == 64
+
+
+def test_gram_of_many_contexts(spark):
+    """Some 4,000 distinct contexts of one gram, more bytes than one pass of hashes holds, in one task."""
+    import numpy as np
+
+    letters = np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8)
+    at = np.arange(len(letters) - suffix_dedup.GRAM + 1)
+    least = int(suffix_dedup._hashes(suffix_dedup._sums(letters, 0), at, at + suffix_dedup.GRAM, 0).argmin())
+    gram = letters[least : least + suffix_dedup.GRAM].tobytes().decode()
+    side = np.random.default_rng(6).integers(97, 123, (4000, 736)).astype(np.uint8)
+    rows = [(i, x[:368].tobytes().decode() + gram + x[368:].tobytes().decode()) for i, x in enumerate(side)]
+    rows[1] = (1, rows[0][1][:450] + rows[1][1][450:])
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_t", F.xxhash64("text"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(d).collect()}
+    end = next(i for i in range(450, 768) if rows[0][1][i] != rows[1][1][i])
+    assert got == {0: [(0, end)], 1: [(0, end)]}
