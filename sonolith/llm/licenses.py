@@ -1,7 +1,7 @@
 """Licence detection by sentence rules.
 
-Texts are cut into sentences, each is normalised and looked up among the known licence sentences, and the sequence of
-known sentences of a document is matched against ordered licence rules: a rule matches where its sentence ids follow one
+Texts are cut into sentences and known licence sentences are found among them, be they wrapped over several lines of a
+paragraph, set one to a line, or cut by punctuation of their own; the sequence of known sentences of a document is matched against ordered licence rules: a rule matches where its sentence ids follow one
 another, with at most ``gap`` unknown sentences between neighbours. A match inside a longer match of another rule is
 dropped, so the most specific rule wins.
 
@@ -12,7 +12,11 @@ columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, lower_ascii
@@ -76,28 +80,58 @@ RULES = [
     ("mpl2-tag", "MPL-2.0", [51]),
     ("reserved", "LicenseRef-reserved", [60]),
 ]
-#: Sentences end at a line break, or at closing punctuation followed by white space.
-CUTS = r"\n+|(?<=[.;:!?])\s+"
+#: Sentences end at closing punctuation followed by white space, and at a paragraph's end: a line without letters or digits.
+CUTS = r"(?<=[.;:!?])\s+"
+PARAGRAPHS = r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*"
 ODD = r"[^a-z0-9]+"
+#: In marked texts: a line break within a sentence, the end of a sentence, the end of a paragraph, and the bounds of a known sentence's id.
+LINE, END, BREAK, ID = "\x01", "\x02", "\x03", "\x04"
+
+
+def _pieces(sentence: str) -> list[list[str]]:
+    """The words of each piece that CUTS makes of a known sentence."""
+    lower = "".join(c.lower() if c.isascii() else " " for c in sentence)
+    return [w for w in (re.sub(ODD, " ", x).split() for x in re.split(CUTS, lower)) if w]
 
 
-def normalised(sentence):
-    """Lower case, with every run of other characters than a-z and 0-9 as one space."""
-    return F.trim(F.regexp_replace(lower_ascii(sentence), ODD, " "))
+def _marked(text: Column) -> Column:
+    """``text`` as words of a-z and 0-9 between marks of where lines, sentences and paragraphs end."""
+    t = F.translate(lower_ascii(text), LINE + END + BREAK + ID, "    ")
+    for pattern, by in (
+        (PARAGRAPHS, BREAK),
+        (CUTS, END),
+        (r"\n+", LINE),
+        (rf"[^a-z0-9{LINE}{END}{BREAK}]+", " "),
+        (rf" *([{LINE}{END}{BREAK}]) *", "$1"),
+        (rf"[{LINE}{END}]*{BREAK}[{LINE}{END}{BREAK}]*", BREAK),
+        (rf"{LINE}*{END}[{LINE}{END}]*", END),
+    ):
+        t = F.regexp_replace(t, pattern, by)
+    return F.trim(t)
 
 
-def _known(spark: SparkSession, sentences: dict[int, str]) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in sentences.items()], "sid int, s string").select("sid", normalised(F.col("s")).alias("norm"))
+def _with_ids(marked: Column, known: list[tuple[int, list[list[str]]]]) -> Column:
+    """``marked`` with its known sentences, longest first, as their ids; one begins and ends where a line does or a sentence, and may be wrapped."""
+    for sid, pieces in known:
+        words = rf"[ {LINE}{END}]".join(rf"[ {LINE}]".join(p) for p in pieces)
+        marked = F.regexp_replace(marked, rf"(?<![^{LINE}{END}{BREAK}]){words}(?![^{LINE}{END}{BREAK}])", f"{ID}{sid}{ID}")
+    return marked
 
 
 def detect_licenses(docs: DataFrame, sentences: dict[int, str] | None = None, rules: list | None = None, gap: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_known (known licence sentences), licenses (sorted, distinct) and matches (rule, license, first and last sentence)."""
     spark, rules = docs.sparkSession, RULES if rules is None else rules
-    known = F.broadcast(_known(spark, SENTENCES if sentences is None else sentences))  # as many rows as the table above
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_t"), F.split(F.coalesce(F.col(text), F.lit("")), CUTS, -1).alias("parts"))
-    parts = d.select("doc_id", "_t", F.posexplode("parts").alias("pos", "part")).select("doc_id", "_t", "pos", normalised(F.col("part")).alias("norm"))
-    found = parts.join(known, "norm").select("doc_id", "_t", "pos", "sid").distinct()
-    seen = cut(found.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("seq")))
+    known = [(k, p) for k, v in (SENTENCES if sentences is None else sentences).items() if (p := _pieces(v))]
+    known.sort(key=lambda x: -sum(map(len, x[1])))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text"))
+    # most texts hold the words of no known sentence at all
+    words = F.array(F.regexp_replace(lower_ascii(F.col("text")), ODD, " "))  # an array, so that they are made once for all sentences
+    some = F.exists(words, lambda w: reduce(or_, [w.contains(" ".join(x for p in pieces for x in p)) for _, pieces in known], F.lit(False)))
+    held = cut(d.filter(some).distinct())
+    found = F.regexp_replace(_with_ids(_marked(F.col("text")), known), rf"[{LINE}{END}{BREAK}]*({ID}\d+{ID})[{LINE}{END}{BREAK}]*", f"{END}$1{END}")
+    parts = held.select("doc_id", "_t", F.split(F.trim(F.translate(found, END + BREAK, "\n\n")), r"\n+", -1).alias("parts"))
+    at = F.transform("parts", lambda x, i: F.struct(i.alias("pos"), F.when(x.startswith(ID), F.translate(x, ID, "").cast("int")).alias("sid")))
+    seen = cut(parts.select("doc_id", "_t", F.filter(at, lambda x: x["sid"].isNotNull()).alias("seq"))).filter(F.size("seq") > 0)
     table = F.broadcast(spark.createDataFrame([(n, lic, ids, ids[0], len(ids)) for n, lic, ids in rules], "rule string, license string, ids array<int>, sid int, len int"))
     starts = seen.select("doc_id", "_t", "seq", F.posexplode("seq").alias("i", "at")).select("doc_id", "_t", "seq", "i", F.col("at.sid").alias("sid")).join(table, "sid")
     own = starts.withColumn("own", F.slice("seq", F.col("i") + 1, F.col("len"))).filter(F.transform("own", lambda x: x["sid"]) == F.col("ids"))

@@ -154,3 +154,20 @@ def test_gram_of_many_contexts(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(d).collect()}
     end = next(i for i in range(450, 768) if rows[0][1][i] != rows[1][1][i])
     assert got == {0: [(0, end)], 1: [(0, end)]}
+
+
+def test_licenses_as_published(spark):
+    """Every rule matches its own sentences: on one line, one to a line, wrapped, and wrapped within comment marks."""
+    import textwrap
+
+    rows, want = [], []
+    for rule, _, ids in licenses.RULES:
+        own = [licenses.SENTENCES[i] for i in ids]
+        wrapped = textwrap.wrap(" ".join(own), 40, break_on_hyphens=False)
+        for text in (" ".join(own), "\n".join(own), "\n".join(wrapped), "\n".join(f" * {x}" for x in wrapped), "#!/bin/sh\n" + "".join(f"# {x}\r\n" for x in wrapped) + "#\r\nimport sys"):
+            rows.append((len(rows), text))
+            want.append([rule])
+    rows += [(len(rows), "All rights\n\nreserved."), (len(rows) + 1, "Nearly all rights reserved."), (len(rows) + 2, "All rights reserved by them.")]
+    want += [[]] * 3
+    got = {r.doc_id: [m["rule"] for m in r.matches] for r in licenses.detect_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
