@@ -6,6 +6,7 @@ import io
 import math
 import wave
 from collections.abc import Iterator
+from os.path import commonprefix
 from pathlib import Path
 
 import numpy as np
@@ -81,9 +82,14 @@ def decode(files: DataFrame, chunk_s: float = 60.0, overlap: int = 1536, offset:
                 for i, at in enumerate(range(0, max(1, len(y)), step)):
                     yield pd.DataFrame([(path, album, track, i, at / sr, sr, len(y) / sr, y[at : at + step + overlap], None)], columns=columns)
 
+    # of each store, the folder that all its files lie in: what the least and the greatest path have in common
+    store = F.regexp_extract("path", r"^([^/]*:(?://[^/]+)?)?/", 1)
+    ends = files.groupBy(store).agg(F.min("path").alias("a"), F.max("path").alias("b")).collect()
+    roots = [commonprefix([r["a"], r["b"]]).rpartition("/")[0] + "/" for r in ends]
     content = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
-    roots = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("p")).distinct().limit(10_000)
-    loaded = content.load([r["p"] for r in roots.collect()]) if files.limit(1).count() else files.withColumn("content", F.lit(b""))
+    loaded = content.load(roots) if roots else files.withColumn("content", F.lit(b""))
+    if roots and "length" in files.columns:  # longer files, of other folders, aren't read
+        loaded = loaded.filter(F.col("length") <= files.agg(F.max("length")).first()[0])
     joined = files.select("path", "album", "track").join(loaded.select(F.col("path"), F.col("content")), "path")
     return joined.mapInPandas(run, CHUNKS)
 

@@ -46,3 +46,13 @@ def test_metronome(spark, tmp_path):
     (tmp_path / "a" / "m.wav").write_bytes(write_wav(plucks(20, 0.5, 330), 22050))
     r = track_features(frames(decode(scan_collection(spark, str(tmp_path)))).cache()).first()
     assert r.pulse_R > 0.6 and min(abs(r.pulse_bpm / b - 1) for b in (60, 120, 240)) < 0.08
+
+
+def test_no_folder_left_out(spark, tmp_path, monkeypatch):
+    """Tracks of all folders are decoded, however few rows a limit leaves (10,000 folders are too many for a test)."""
+    for i in range(4):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}" / "t.wav").write_bytes(write_wav(np.zeros(8), 8000))
+    tracks = scan_collection(spark, str(tmp_path))
+    monkeypatch.setattr(type(tracks), "limit", lambda self, n, f=type(tracks).limit: f(self, min(n, 2)))
+    assert sorted(r.album for r in decode(tracks).filter("error is null").collect()) == ["0", "1", "2", "3"]
