@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows a broadcast side may have; a side beyond it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -29,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -41,9 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; it should be cheap to read (cut)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, those with arrays counted as their ``weight`` of elements; it should be cheap to read (cut)."""
+    if weight is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(weight + F.lit(1))).first()[0] or 0) <= most else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

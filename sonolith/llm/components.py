@@ -42,3 +42,23 @@ def components(edges: DataFrame) -> DataFrame:
         s = _star(large)
         own = F.struct("u", F.col("m").alias("v"))
         e = cut(s.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), own))).filter("u != v").distinct())
+
+
+def cells(members: DataFrame, member: str, part: int = 512) -> DataFrame:
+    """``members`` (grp, label and others) of groups of several labels, each group cut into cells of two parts of about ``part`` members.
+
+    Every member outside the label with most members (odd) meets every other member of its group in some cell, so a group
+    that is one component but for a few members has about as many rows as members.
+    """
+    sizes = members.groupBy("grp", "label").count()
+    of = sizes.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    parts = lambda c: F.ceil(c / F.lit(float(part))).cast("int")
+    of = of.filter("most < n").select("grp", "main", parts(F.col("n") - F.col("most")).alias("odds"), parts(F.col("most")).alias("mains"))
+    m = members.join(of, "grp").withColumn("odd", F.col("label") != F.col("main"))
+    m = m.withColumn("own", F.pmod(F.xxhash64(member), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("mains"))).cast("int"))
+    # cell (i, j) holds odd part i, and main part j or, beyond those, odd part j - mains
+    rows = F.transform(F.sequence(F.lit(0), F.col("mains") + F.col("odds") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("odd")))
+    column = F.when(F.col("odd"), F.col("mains") + F.col("own")).otherwise(F.col("own"))
+    columns = F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: F.struct(i.alias("i"), column.alias("j"), F.lit(False).alias("odd")))
+    placed = m.withColumn("_at", F.explode(F.when(F.col("odd"), F.concat(rows, columns)).otherwise(columns)))
+    return placed.select(*members.columns, (F.col("_at.i").cast("long") * F.lit(1 << 31) + F.col("_at.j")).alias("cell"), F.col("_at.odd").alias("odd"))

@@ -22,88 +22,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_rows, broadcast_if_small, cut
-from .components import components
-from .suffix_dedup import _arrays
-
-_U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-PIECE = 1 << 21
+from .components import cells, components
+from .hashing import U, joined, mix, slices, word_hashes
+
 #: Bits of a sketch for each shingle: pairs down to a similarity of about 0.71 pass the coarse ones, of 0.746 the fine ones.
 COARSE, FINE = 2, 16
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(32))
-
-
-@functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and powers of an odd base and of its inverse."""
-    n = 2 * PIECE
-    power = lambda b: np.multiply.accumulate(np.r_[_U(1), np.full(n, b, _U)])
-    base = 0x9E3779B97F4A7C15
-    return np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64), power(_U(base)), power(_U(pow(base, -1, 2**64)))
-
-
-def _word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of ``data``, lower-cased ASCII, words being runs of bytes that don't separate."""
-    out_start, out_hash = [], []
-    space = separators[data]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    values, power, inverse = _powers()
-    at = 0
-    while at < len(start):
-        stop = int(np.searchsorted(end, start[at] + PIECE, "right"))
-        stop = max(stop, at + 1)
-        lo, hi = start[at], end[stop - 1]
-        if hi - lo <= 2 * PIECE:
-            sums = np.r_[_U(0), np.cumsum(values[_LOWER[data[lo:hi]]] * power[: hi - lo], dtype=np.uint64)]
-            s, e = start[at:stop] - lo, end[at:stop] - lo
-            h = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
-        else:  # one word of megabytes
-            import xxhash
-
-            h = np.array([xxhash.xxh64_intdigest(_LOWER[data[lo:hi]].tobytes())], np.uint64)
-        out_start.append(start[at:stop])
-        out_hash.append(_mix(h))
-        at = stop
-    return (np.concatenate(out_start), np.concatenate(out_hash)) if out_start else (start, np.zeros(0, np.uint64))
-
-
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text of ``column``; a text of fewer words is one shingle, none without words."""
-    data, offsets = _arrays(column)
-    base = int(offsets[0]) if len(offsets) else 0
-    data = data[base : int(offsets[-1])] if len(data) else data
-    offsets = offsets - base
-    # a space between texts, so that no word runs over
-    n = len(offsets) - 1
-    spread = np.full(len(data) + n, 0x20, np.uint8)
-    if len(data):
-        at = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))
-        spread[at] = data
-    start, h = _word_hashes(spread)
-    first = np.searchsorted(start, offsets[:-1] + np.arange(n))
-    last = np.r_[first[1:], len(start)]
+    data, starts = joined(column, 0x20)
+    n = len(starts) - 1
+    start, h = word_hashes(data)
+    edges = np.searchsorted(start, starts)
+    first, last = edges[:-1], edges[1:]
     roll = h.copy()
     for j in range(1, width):
-        roll = roll[: len(h) - j] * _U(0x9FB21C651E98DF25) + h[j:] if len(h) > j else np.zeros(0, np.uint64)
-    roll = _mix(roll)
+        roll = roll[: len(h) - j] * U(0x9FB21C651E98DF25) + h[j:] if len(h) > j else np.zeros(0, np.uint64)
+    roll = mix(roll)
     for i in range(n):
         a, b = first[i], last[i]
         if b - a >= width:
             yield i, np.unique(roll[a : b - width + 1])
         elif b > a:
-            x = _U(b - a)
+            x = U(b - a)
             for w in h[a:b]:
-                x = _U((int(x) * 0x9FB21C651E98DF25 + int(w)) & (2**64 - 1))
-            yield i, _mix(np.array([x], np.uint64))
+                x = U((int(x) * 0x9FB21C651E98DF25 + int(w)) & (2**64 - 1))
+            yield i, mix(np.array([x], np.uint64))
         else:
             yield i, np.zeros(0, np.uint64)
 
@@ -141,31 +86,31 @@ def signatures(s: np.ndarray, num: int = 3, den: int = 4) -> np.ndarray:
     for band in (own, own + 1):
         hi = int(edges[band])
         k, p, q = scheme(hi, num, den)
-        tag = _U((band * 0x9E3779B97F4A7C15 + 0x165667B19E3779F9) & (2**64 - 1))
-        part = ((_mix(s ^ tag) >> _U(32)) * _U(p)) >> _U(32)
+        tag = U((band * 0x9E3779B97F4A7C15 + 0x165667B19E3779F9) & (2**64 - 1))
+        part = ((mix(s ^ tag) >> U(32)) * U(p)) >> U(32)
         part = part.astype(np.int64)
         filled = np.bincount(part, minlength=p) > 0
         total = np.zeros(p, np.uint64)
-        np.add.at(total, part, _mix(s + tag))
-        ids = (np.arange(p, dtype=np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
+        np.add.at(total, part, mix(s + tag))
+        ids = (np.arange(p, dtype=np.uint64) + U(1)) * U(0xC2B2AE3D27D4EB4F)
         if q == 1:
-            out.append(_mix((_mix(total + ids) ^ tag))[filled])
+            out.append(mix((mix(total + ids) ^ tag))[filled])
         else:
             sub = _subsets(p, q)
             use = filled[sub].any(axis=1)
             sub = sub[use]
-            out.append(_mix(_mix(total[sub] + ids[sub]).sum(axis=1, dtype=np.uint64) ^ tag))
+            out.append(mix(mix(total[sub] + ids[sub]).sum(axis=1, dtype=np.uint64) ^ tag))
         reach = min(hi, n * den // num)
         if filled.sum() <= (den - num) * (n + reach) // (den + num) and k:
             prefix = np.sort(s)[: n - -(-n * num // den) + 1]
-            out.append(_mix(prefix ^ _mix(np.array([tag + _U(5)]))))
+            out.append(mix(prefix ^ mix(np.array([tag + U(5)]))))
     return np.concatenate(out)
 
 
 def sketch(s: np.ndarray, per: int = COARSE) -> bytes:
     """Parities of how many hashes fall to each of about ``per`` n bits; two sets differ in at least as many elements as their sketches in bits."""
     bits = 1 << max(6, int(per * len(s) - 1).bit_length())
-    odd = np.bincount((_mix(s + _U(77)) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount((mix(s + U(77)) % U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -222,12 +167,12 @@ def _described(width: int, per: int = COARSE):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
+            for part in slices(batch):
                 n, d1, d2, sk = [], [], [], []
                 for _, s in shingle_sets(part.column("text"), width):
                     n.append(len(s))
-                    d1.append(int(_mix(s).sum(dtype=np.uint64)) - (1 << 63))
-                    d2.append(int(_mix(s ^ _U(0x5555)).sum(dtype=np.uint64)) - (1 << 63))
+                    d1.append(int(mix(s).sum(dtype=np.uint64)) - (1 << 63))
+                    d2.append(int(mix(s ^ U(0x5555)).sum(dtype=np.uint64)) - (1 << 63))
                     sk.append(sketch(s, per) if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch"])
 
@@ -240,14 +185,14 @@ def _signed(width: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, docs, held = [], [], 0
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
+            for part in slices(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 for i, s in shingle_sets(part.column("text"), width):
                     if len(s):
                         sigs.append(signatures(s, num, den))
                         docs.append(np.full(len(sigs[-1]), ids[i], np.int64))
                         held += len(sigs[-1])
-                if held >= 1 << 21:
+                if held >= 1 << 18:
                     yield packed(sigs, docs)
                     sigs, docs, held = [], [], 0
         if sigs:
@@ -255,7 +200,7 @@ def _signed(width: int, num: int, den: int, buckets: int):
 
     def packed(sigs: list, docs: list) -> pa.RecordBatch:
         s, d = np.concatenate(sigs), np.concatenate(docs)
-        bucket = ((s >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        bucket = ((s >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, s, d = bucket[order], s[order], d[order]
         ends = np.r_[np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
@@ -284,7 +229,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = size >= 2
         if not many.any():
             return None
-        digest = np.add.reduceat(_mix(d.view(np.uint64)), first)
+        digest = np.add.reduceat(mix(d.view(np.uint64)), first)
         keep = []
         for i in np.flatnonzero(many):
             g = int(digest[i])
@@ -363,7 +308,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
+            for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for _, s in shingle_sets(part.column("text"), width)], pa.binary())], names=["doc_id", "s"])
 
     return run
@@ -383,14 +328,14 @@ def _similar(num: int, den: int):
     return F.pandas_udf(run, "boolean")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = 4096, few: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = 1024, few: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, and component_id, the least doc_id that links of Jaccard similarity num / den or more lead to.
 
     Copies of one set are a class and take part once. Documents that share a signature form a group, whose members are
-    held against each other by their sketches, blocks of at most ``block`` members at a time: a spanning forest of what
-    may be similar is verified on the whole sets, first in ``few`` groups of each document, then across the components
-    so found, and where the forest held a pair that isn't similar every pair that may be and still lies in different
-    components. So no link is lost and no group is expanded into all its pairs.
+    held against each other by their sketches, about ``block`` members at a time: a spanning forest of what may be
+    similar is verified on the whole sets, first in ``few`` groups of each document, then what lies outside a group's
+    largest component against its other members, and where the forest held a pair that isn't similar every pair that may
+    be and still lies in different components. So no link is lost and no group is expanded into all its pairs.
 
     Defined results: null or empty texts have no shingles and are their own component; a null doc_id takes no part and
     has no component; rows that repeat a doc_id are one vertex that all their texts link. ids are integers.
@@ -410,12 +355,11 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, "grp long, size long, doc_id long")
     groups = cut(groups.distinct())
     sketches = some.join(out_of_play, "doc_id", "left_anti").select("doc_id", "n", "d1", "sketch").distinct()
-    sized = groups.withColumn("parts", F.ceil(F.col("size") / F.lit(float(block // 2))).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    # a group of several parts is compared two parts at a time, each pair of parts being a block
-    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
-    members = sized.select("grp", (F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")).alias("block"), "doc_id")
-    members = cut(members)
+    # a group of several parts is first compared part by part, the least member with each of them
+    sized = groups.withColumn("parts", F.ceil(F.col("size") / F.lit(float(block))).cast("int"))
+    members = cut(sized.select("grp", F.pmod(F.xxhash64("doc_id", "grp"), F.col("parts")).alias("block"), "doc_id"))
+    least = sized.filter("parts > 1").groupBy("grp", "parts").agg(F.min("doc_id").alias("doc_id"))
+    least = least.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("block"), "doc_id")
     verify = _similar(num, den)
 
     def by_block(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -433,20 +377,22 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
         tested = cut(pairs.join(x, "a").join(y, "b").select("a", "b", verify("x", "y").alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
         return found.join(tested, ["a", "b"])
 
-    def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-        """The members of groups that still have several components."""
-        m = members.select("grp", "block", "doc_id").join(found, members["doc_id"] == found["id"], "left").select("grp", "block", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-        several = m.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("grp", "block")
-        return m.join(several, ["grp", "block"], "left_semi")
+    def labelled(members: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+        """``members`` with the component each lies in as its label, of groups that still have several."""
+        m = members.join(found, members["doc_id"] == found["id"], "left").select(*by, "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        several = m.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select(by)
+        return m.join(several, by, "left_semi")
 
     # first each document in ``few`` of its groups, the same ones for documents that share most groups
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("grp", "block"), "grp", "block")
-    chosen = members.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= few).select("grp", "block", "doc_id", F.col("doc_id").alias("label"))
+    chosen = members.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= few).select("grp", "block", "doc_id")
+    chosen = chosen.unionByName(least).distinct().withColumn("label", F.col("doc_id"))
     one = checked(chosen, sketches, False, None)
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(one.filter("ok").select("a", "b"))
     found = components(links)
     # then what else may be similar across components: finer sketches of the members that the coarse ones don't tell apart
-    near = by_block(labelled(members, found), sketches).mapInPandas(_near_others(num, den), "grp long, block long, doc_id long, label long")
+    apart = cells(cut(labelled(members, found, ["grp"])), "doc_id", block // 2).select("grp", F.col("cell").alias("block"), "doc_id", "label").distinct()
+    near = by_block(apart, sketches).mapInPandas(_near_others(num, den), "grp long, block long, doc_id long, label long")
     near = cut(near.distinct())
     if near.limit(1).count():
         own = broadcast_if_small(cut(near.select("doc_id").distinct()))
@@ -459,7 +405,7 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
             found = components(links)
         if failed.limit(1).count():  # and in blocks where such a pair wasn't similar, every one
             done = one.select("a", "b").unionByName(two.select("a", "b")).distinct()
-            three = cut(checked(labelled(near.join(failed, ["grp", "block"], "left_semi"), found), fine, True, done))
+            three = cut(checked(labelled(near.drop("label").join(failed, ["grp", "block"], "left_semi"), found, ["grp", "block"]), fine, True, done))
             if three.filter("ok").limit(1).count():
                 found = components(links.unionByName(three.filter("ok").select("a", "b")))
     j = known.select("doc_id", "n").join(found, known["doc_id"] == found["id"], "left")

@@ -31,7 +31,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_duplicate_lines(read(spark, sf_dir, "documents"), k=3, least=0.75, min_words=3)
+    out = drop_duplicate_lines(read(spark, sf_dir, "documents"), k=26, least=0.75, min_words=1)
     return out.select("doc_id", "text", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 

@@ -17,7 +17,6 @@ rows that repeat a doc_id are texts of their own. Windows are compared by two in
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,37 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut
+from .hashing import PIECE, arrays, prefix_sums, span_hashes
 
 GRAM = 32
-#: Bytes hashed at a time; a longer text is read in pieces that overlap by a window.
-PIECE = 1 << 20
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-
-
-@functools.cache
-def _tables(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and the powers of an odd base and of its inverse modulo 2**64."""
-    n = 2 * PIECE + (1 << 16)
-    base = _BASES[which]
-    values = np.random.default_rng(97 + which).integers(0, 2**64, 256, dtype=np.uint64)
-    power = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
-    return values, power(np.uint64(base)), power(np.uint64(pow(base, -1, 2**64)))
-
-
-def _sums(data: np.ndarray, which: int) -> np.ndarray:
-    values, powers, _ = _tables(which)
-    return np.r_[np.uint64(0), np.cumsum(values[data] * powers[: len(data)], dtype=np.uint64)]
-
-
-def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """Hashes of data[start:end], mixed so that any of their bits are usable."""
-    h = (sums[end] - sums[start]) * _tables(which)[2][start]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    return h
-
-
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, from running minima to both sides of every width-th element."""
     blocks = np.full(-(-len(v) // width) * width, np.iinfo(v.dtype).max, v.dtype)
@@ -70,9 +41,9 @@ def _window_min(v: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(data: np.ndarray, starts: list[int], lengths: list[int], depth: int) -> tuple[np.ndarray, ...]:
     """(first suffix, last suffix, gram, gram hash, hash of all bytes) of each run; pieces of a text lie at ``starts`` of ``data``."""
-    sums = _sums(data, 0)
+    sums = prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
-    gram = _hashes(sums, at, at + GRAM, 0)
+    gram = span_hashes(sums, at, at + GRAM)
     low = np.uint64(0xFFFFFFFF)
     least = _window_min((gram & ~low) | (low - at.astype(np.uint64)), depth - GRAM + 1)  # of equal grams the last
     fits = np.zeros(len(least), bool)
@@ -84,31 +55,24 @@ def runs_of(data: np.ndarray, starts: list[int], lengths: list[int], depth: int)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(suffix)] - 1
     a, e, m = suffix[first], suffix[last], led[first]
-    return a, e, m, gram[m], _hashes(_sums(data, 1), a, e + depth, 1)
-
-
-def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of strings and the offsets of its values."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+    return a, e, m, gram[m], span_hashes(prefix_sums(data, 1), a, e + depth, 1)
 
 
 def _run_rows(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _arrays(batch.column("text"))
+            data, offsets = arrays(batch.column("text"))
             pieces: list[tuple[int, int, np.ndarray]] = []
             held = 0
             for i in range(len(batch)):
                 begin, end = offsets[i], offsets[i + 1]
-                for s in range(0, end - begin - depth + 1, PIECE):
-                    pieces.append((i, s, data[begin + s : min(end, begin + s + PIECE + depth - 1)]))
-                    held += len(pieces[-1][2])
-                    if held >= PIECE:
+                for s in range(0, end - begin - depth + 1, PIECE):  # a longer text is read in pieces that overlap by a window
+                    piece = data[begin + s : min(end, begin + s + PIECE + depth - 1)]
+                    if pieces and held + len(piece) > 2 * PIECE:
                         yield rows(batch, pieces)
                         pieces, held = [], 0
+                    pieces.append((i, s, piece))
+                    held += len(piece)
             if pieces:
                 yield rows(batch, pieces)
 
@@ -140,7 +104,7 @@ def _cut_contexts(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.Da
             for r in runs:
                 m, far, near = r["m"], r["far"], r["near"]
                 out.append((r["gram"], far, near, r["whole"], r["c"], doc_id, t, m, data[m - far : m - near + depth]))
-                if len(out) >= 20_000:
+                if len(out) >= 2_000:
                     yield pd.DataFrame(out, columns=["gram", "far", "near", "whole", "c", "doc_id", "_t", "m", "b"])
                     out = []
         if out:
@@ -162,7 +126,7 @@ def _suffixes(pdf: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np
         begin, end = starts[j], starts[k - 1] + sizes[k - 1]
         own = slice(*np.searchsorted(row, (j, k)))
         at = starts[row[own]] + i[own] - begin
-        h0[own], h1[own] = (_hashes(_sums(data[begin:end], which), at, at + depth, which) for which in (0, 1))
+        h0[own], h1[own] = (span_hashes(prefix_sums(data[begin:end], which), at, at + depth, which) for which in (0, 1))
         j = k
     return row, pdf["far"].to_numpy()[row] - i, h0, h1
 
@@ -206,7 +170,7 @@ def _last_pass(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataF
         yield from done(rest)
 
 
-def _parts(pdf: pd.DataFrame, size: int = 2000) -> Iterator[pd.DataFrame]:
+def _parts(pdf: pd.DataFrame, size: int = 500) -> Iterator[pd.DataFrame]:
     """Slices of about ``size`` rows that end where a gram ends, so that few suffixes are held at a time."""
     gram = pdf["gram"].to_numpy()
     ends = np.r_[np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(pdf)]
@@ -218,7 +182,7 @@ def _parts(pdf: pd.DataFrame, size: int = 2000) -> Iterator[pd.DataFrame]:
         at = end
 
 
-def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 512) -> DataFrame:
     """(doc_id, _t, spans) of each text in (doc_id, _t, text) that holds bytes of a repeated window; spans are merged and sorted, end exclusive."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _t long, m long, far int, near int, gram long, whole long"
@@ -232,7 +196,7 @@ def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 4096) -> Data
     # classes that share their gram with others: their suffixes are compared one by one
     mixed = held.filter("d >= 2")
     by_doc = mixed.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("m", "far", "near", "gram", "whole", "c")).alias("runs")).withColumnsRenamed({"doc_id": "r_id", "_t": "r_t"})
-    texts = docs.join(broadcast_if_small(cut(by_doc)), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_t") == F.col("r_t"))).select("doc_id", "_t", "text", "runs")
+    texts = docs.join(broadcast_if_small(cut(by_doc), weight=F.size("runs")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_t") == F.col("r_t"))).select("doc_id", "_t", "text", "runs")
     contexts = texts.mapInPandas(lambda it: _cut_contexts(it, depth), CONTEXT.format(id=kind))
     hot = broadcast_if_small(cut(held.filter(F.col("d") > group).select("gram").distinct()))
     span = f"doc_id {kind}, _t long, start long, end long"
@@ -263,7 +227,7 @@ def _hot_spans(contexts: DataFrame, depth: int, kind: str) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in (pdf.iloc[i : i + 2000].reset_index(drop=True) for i in range(0, len(pdf), 2000)):
+            for part in (pdf.iloc[i : i + 500].reset_index(drop=True) for i in range(0, len(pdf), 500)):
                 row, distance, h0, h1 = _suffixes(part, depth)
                 own = part.iloc[row]
                 yield pd.DataFrame({"gram": own["gram"].to_numpy(), "d": distance.astype(np.int32), "h0": h0.view(np.int64), "h1": h1.view(np.int64), "c": own["c"].to_numpy(), "doc_id": own["doc_id"].to_numpy(), "_t": own["_t"].to_numpy(), "m": own["m"].to_numpy()})
@@ -276,11 +240,11 @@ def _hot_spans(contexts: DataFrame, depth: int, kind: str) -> DataFrame:
     return suffixes.filter("c = 1").join(repeated, key, "left_semi").select("doc_id", "_t", start.alias("start"), (start + depth).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, depth: int = 400, group: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 400, group: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, spans (removed byte ranges, end exclusive) and kept (the bytes that remain)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = cut(repeated_spans(d.filter(F.octet_length("text") >= depth), depth, group)).withColumnsRenamed({"doc_id": "s_id", "_t": "s_t"})
-    j = d.join(broadcast_if_small(spans), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("_t") == F.col("s_t")), "left")
+    j = d.join(broadcast_if_small(spans, weight=F.size("spans")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("_t") == F.col("s_t")), "left")
     j = j.select("doc_id", F.encode("text", "utf-8").alias("b"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
     size = F.octet_length("b").cast("long")
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"])), F.concat(F.transform("spans", lambda s: s["start"]), F.array(size)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.llm import ann, decontam, html_extract, licenses, line_dedup, mixing, ngram_join, suffix_dedup, toxicity, warc
+from sonolith.llm import ann, decontam, hashing, html_extract, licenses, line_dedup, mixing, ngram_join, suffix_dedup, toxicity, warc
 
 LONG = " ".join(f"w{i % 997}x{i // 997}" for i in range(20_000))
 ROWS = [
@@ -44,6 +44,21 @@ def test_decontaminate(spark, docs, none):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 3, 4, 5, 6}
 
 
+def test_long_texts_in_one_batch(spark):
+    """Some hundred long texts in one partition are read in slices of bounded bytes; each loses what it shares."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    rows = [(k, "\n".join(" ".join(words[rng.integers(0, len(words), 20)]) for _ in range(1000))) for k in range(60)]
+    rows += [(100 + k, t) for k, t in rows[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = dict(line_dedup.drop_duplicate_lines(df).collect())
+    assert [k for k, t in out.items() if not t] == [100, 101, 102] and all(out[k] == t for k, t in rows[:60])
+    groups = {r.doc_id: r.component_id for r in ngram_join.similar_groups(df).collect()}
+    assert groups == {k: k % 100 for k, _ in rows}
+
+
 def test_line_dedup(spark, docs, none):
     out = line_dedup.drop_duplicate_lines(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
@@ -143,9 +158,9 @@ def test_gram_of_many_contexts(spark):
     """Some 4,000 distinct contexts of one gram, more bytes than one pass of hashes holds, in one task."""
     import numpy as np
 
-    letters = np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8)
-    at = np.arange(len(letters) - suffix_dedup.GRAM + 1)
-    least = int(suffix_dedup._hashes(suffix_dedup._sums(letters, 0), at, at + suffix_dedup.GRAM, 0).argmin())
+    letters, gram = np.random.default_rng(5).integers(97, 123, 2 * hashing.PIECE).astype(np.uint8), suffix_dedup.GRAM
+    at = np.arange(len(letters) - gram + 1)
+    least = int(hashing.span_hashes(hashing.prefix_sums(letters), at, at + gram).argmin())
     gram = letters[least : least + suffix_dedup.GRAM].tobytes().decode()
     side = np.random.default_rng(6).integers(97, 123, (4000, 736)).astype(np.uint8)
     rows = [(i, x[:368].tobytes().decode() + gram + x[368:].tobytes().decode()) for i, x in enumerate(side)]
