@@ -1,18 +1,25 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Each table turns a unit vector by ``rounds`` fast Hadamard pseudo-rotations (random signs, then a Walsh-Hadamard
-transform) and assigns it to the nearest signed axis. A query probes the ``probes`` axes it is nearest to in each table;
-the candidates found are reranked by their exact cosine, and per query the best ``k`` stay. A table's buckets are dealt
-out as blocks of at most about ``block`` candidates, so a bucket that holds a third of all rows is many blocks, and the
-pairs of a block are scored as one matrix product inside its task: only each block's best k of a query leave it.
+transform) and assigns it to the nearest signed axis; as many turned copies are taken together as it needs for buckets
+of about ``fill`` vectors, so their number follows the rows. A query probes, in each table, the buckets whose axes cost
+it no more than a bound: the sum over the copies of the squared distance between its largest coordinate and the one on
+that axis. The bound is fitted on ``fit`` queries, whose exact neighbours among all vectors are found in one pass, so that
+``recall`` of them are probed. Candidates are reranked by their exact cosine, and per query the best ``k`` stay.
+
+Vectors are dealt by table and first axis, in blocks of at most about ``block`` vectors and ``block`` queries, so a
+bucket that holds a third of all rows is many blocks; within its task a block is split by the other axes, and only
+buckets that a query probes are scored for it. A query that finds fewer than k probes every bucket of one table, which is
+exact for it.
 
 Defined results: vectors that are null, of norm zero, of another length than most, or that hold null or non-finite
-components take no part; equal scores go to the smaller vec_id; a query with fewer than k candidates returns those it
-has; rows that repeat a vec_id are one candidate each, but never their own query's neighbour.
+components take no part; equal scores go to the smaller vec_id; a query has all candidates if they are fewer than k;
+rows that repeat a vec_id are one candidate each, but never their own query's neighbour.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import cut
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,24 +41,26 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rotations(d: int, tables: int, rounds: int, seed: int) -> np.ndarray:
-    """The random signs: tables x rounds x the next power of two."""
+def rotations(d: int, tables: int, copies: int, rounds: int, seed: int) -> np.ndarray:
+    """The random signs: tables x copies x rounds x the next power of two."""
     width = 1 << max(1, (d - 1).bit_length())
-    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(tables, rounds, width))
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(tables, copies, rounds, width))
 
 
-def axes(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
-    """Of each row, the ``probes`` nearest signed axes, nearest first: axis i as i, its opposite as i + width."""
+def turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Unit vectors by one pseudo-rotation, and their opposites beside them: column i is the axis i, i + width its opposite."""
     width = signs.shape[1]
     y = np.zeros((len(x), width))
     y[:, : x.shape[1]] = x
     for s in signs:
-        y = _hadamard(y * s)
-    both = np.concatenate((y, -y), axis=1)
-    if probes == 1:
-        return both.argmax(axis=1)[:, None]
-    near = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, axis=1), axis=1, kind="stable"), axis=1)
+        y = _hadamard(y * s) / math.sqrt(width)
+    return np.concatenate((y, -y), axis=1)
+
+
+def costs(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """What each signed axis costs a query."""
+    y = turned(x, signs)
+    return (y.max(axis=1, keepdims=True) - y) ** 2
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -68,58 +77,128 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 5, probes: int = 24, rounds: int = 3, block: int = 4096, seed: int = 20_001, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): per row of ``queries`` (columns as ``vectors``) its ``k`` nearest found."""
-    base, asked = _usable(vectors, vec_id, embedding), _usable(queries, vec_id, embedding)
-    d = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = d[0]["d"] if d else 1
-    signs = rotations(d, tables, rounds, seed)
-    probes = min(probes, 2 * signs.shape[2])
-
-    def hashed(n: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    x, own, ids = _unit(pdf["v"]), pdf["v"].to_numpy(), pdf["id"].to_numpy()
-                    for t in range(tables):
-                        near = axes(x, signs[t], n)
-                        at = np.repeat(np.arange(len(pdf)), near.shape[1])
-                        yield pd.DataFrame({"bucket": t * 2 * signs.shape[2] + near.ravel(), "id": ids[at], "v": own[at]})
-
-        return run
-
-    schema = f"bucket long, id long, v {base.schema['v'].dataType.simpleString()}"
-    dealt = base.filter(F.size("v") == d).mapInPandas(hashed(1), schema)
-    probing = asked.filter(F.size("v") == d).mapInPandas(hashed(probes), schema)
-    sizes = cut(dealt.select("bucket").groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / F.lit(float(block))).cast("int").alias("parts")))
-    sizes = broadcast_if_small(sizes)  # a row for each axis of each table
-    mine = dealt.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int")).select("bucket", "part", "id", "v")
-    theirs = probing.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, score) of the k best of each query, ties by id; ``ids`` ascend."""
+    score = q @ x.T
+    score[qids[:, None] == ids[None, :]] = -np.inf
+    # a rounding apart from the k-th best may be a tie, so those stay too until the exact score is known
+    at = score.shape[1] - k
+    kth = np.partition(score, at, axis=1)[:, at] if at > 0 else np.full(len(score), -np.inf)
+    r, c = np.nonzero((score >= kth[:, None] - 1e-12) & (score > -np.inf))
+    exact = (q[r] * x[c]).sum(axis=1)
+    o = np.lexsort((ids[c], -exact, r))
+    r, c, exact = r[o], c[o], exact[o]
+    first = np.searchsorted(r, r)
+    keep = np.arange(len(r)) - first < k
+    return r[keep], c[keep], exact[keep]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _fitted(base: DataFrame, asked: DataFrame, signs: np.ndarray, k: int, fit: int, recall: float) -> float:
+    """The bound on costs that leads ``fit`` queries to ``recall`` of their exact neighbours."""
+    sample = asked.orderBy(F.xxhash64("id"), "id").limit(fit).toPandas()
+    if not len(sample):
+        return 0.0
+    qids, q = sample["id"].to_numpy(), _unit(sample["v"])
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                order = np.argsort(pdf["id"].to_numpy(), kind="stable")
+                ids, x = pdf["id"].to_numpy()[order], _unit(pdf["v"])[order]
+                r, c, score = _best(ids, x, qids, q, k)
+                yield pd.DataFrame({"query_id": qids[r], "vec_id": ids[c], "score": score, "v": pdf["v"].to_numpy()[order][c]})
+
+    near = _ranked(base.mapInPandas(exact, f"{_FOUND}, v {base.schema['v'].dataType.simpleString()}"), k).toPandas()  # fit * k rows
+    if not len(near):
+        return 0.0
+    x, own = _unit(near["v"]), np.searchsorted(np.sort(qids), near["query_id"].to_numpy())
+    q = q[np.argsort(qids, kind="stable")]
+    best = np.full(len(near), np.inf)
+    for table in signs:
+        cost = sum(costs(q, s)[own, turned(x, s).argmax(axis=1)] for s in table)
+        best = np.minimum(best, cost)
+    return float(np.quantile(best, recall, method="higher")) + 1e-9
+
+
+def _search(base: DataFrame, asked: DataFrame, signs: np.ndarray, bound: float, k: int, block: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each block of the buckets it probes."""
+    axes = 2 * signs.shape[3]
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _unit(pdf["v"])
+                for t, table in enumerate(signs):
+                    yield pd.DataFrame({"bucket": t * axes + turned(x, table[0]).argmax(axis=1), "id": pdf["id"], "v": pdf["v"]})
+
+    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, ids, own = _unit(pdf["v"]), pdf["id"].to_numpy(), pdf["v"].to_numpy()
+                for t, table in enumerate(signs):
+                    cost = costs(x, table[0])
+                    r, c = np.nonzero(cost <= bound)
+                    yield pd.DataFrame({"bucket": t * axes + c, "id": ids[r], "v": own[r], "left": bound - cost[r, c]})
+
+    kind = base.schema["v"].dataType.simpleString()
+    mine, theirs = base.mapInPandas(dealt, f"bucket long, id long, v {kind}"), asked.mapInPandas(probing, f"bucket long, id long, v {kind}, left double")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return cut(rows.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / F.lit(float(block))).cast("int").alias(name)))
+
+    sizes = F.broadcast(parts(mine.select("bucket"), "blocks").join(parts(theirs.select("bucket"), "calls"), "bucket"))  # a row for each axis of each table
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = mine.join(sizes, "bucket").select("bucket", part("blocks").alias("i"), spread("calls").alias("j"), "id", "v")
+    theirs = theirs.join(sizes, "bucket").select("bucket", spread("blocks").alias("i"), part("calls").alias("j"), "id", "v", "left")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        order = np.argsort(left["id"].to_numpy(), kind="stable")  # ties then come by vec_id
-        ids, x = left["id"].to_numpy()[order], _unit(left["v"])[order]
-        qids, q = right["id"].to_numpy(), _unit(right["v"])
-        out = []
-        for i in range(0, len(q), 512):
-            score = q[i : i + 512] @ x.T
-            score[qids[i : i + 512, None] == ids[None, :]] = -np.inf
-            # a rounding apart from the k-th best may be a tie, so those stay too until the exact score is known
-            kth = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)] if score.shape[1] > k else np.full(len(score), -np.inf)
-            r, c = np.nonzero((score >= kth[:, None] - 1e-12) & (score > -np.inf))
-            exact = (q[i + r] * x[c]).sum(axis=1)
-            o = np.lexsort((ids[c], -exact, r))
-            r, c, exact = r[o], c[o], exact[o]
-            first = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.zeros(0, int)
-            rank = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-            keep = rank < k
-            out.append(pd.DataFrame({"query_id": qids[i + r[keep]], "vec_id": ids[c[keep]], "score": exact[keep]}))
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(left) and len(right):
+            table = signs[int(left["bucket"].iloc[0]) // axes]
+            x, q, qids = _unit(left["v"]), _unit(right["v"]), right["id"].to_numpy()
+            code = np.zeros(len(x), np.int64)
+            for s in table[1:]:
+                code = code * axes + turned(x, s).argmax(axis=1)
+            order = np.lexsort((left["id"].to_numpy(), code))
+            ids, x, code = left["id"].to_numpy()[order], x[order], code[order]
+            cost = [costs(q, s) for s in table[1:]]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            for f, e in zip(first, np.r_[first[1:], len(code)], strict=True):
+                total, c = np.zeros(len(q)), int(code[f])
+                for own in reversed(cost):
+                    total += own[:, c % axes]
+                    c //= axes
+                at = np.flatnonzero(total <= right["left"].to_numpy())
+                for i in range(0, len(at), 512):
+                    own = at[i : i + 512]
+                    r, c_, score = _best(ids[f:e], x[f:e], qids[own], q[own], k)
+                    out.append(pd.DataFrame({"query_id": qids[own[r]], "vec_id": ids[f + c_], "score": score}))
         return pd.concat(out, ignore_index=True)
 
-    found = mine.groupBy("bucket", "part").cogroup(theirs.groupBy("bucket", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # of a query's candidates the best k, as one aggregate of bounded size
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return mine.groupBy("bucket", "i", "j").cogroup(theirs.groupBy("bucket", "i", "j")).applyInPandas(best, _FOUND)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, rounds: int = 3, fill: int = 8, fit: int = 64, recall: float = 0.95, block: int = 4096, seed: int = 20_001, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): per row of ``queries`` (columns as ``vectors``) its ``k`` nearest found."""
+    base, asked = _usable(vectors, vec_id, embedding), _usable(queries, vec_id, embedding)
+    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    d, n = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 1)
+    base, asked = base.filter(F.size("v") == d), asked.filter(F.size("v") == d)
+    width = 1 << max(1, (d - 1).bit_length())
+    copies = max(1, math.ceil(math.log(max(n / fill, 1.0)) / math.log(2 * width)))
+    signs = rotations(d, tables, copies, rounds, seed)
+    found = cut(_search(base, asked, signs, _fitted(base, asked, signs, k, fit, recall), k, block, seed).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    short = cut(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    if short.limit(1).count():
+        found = found.unionByName(_search(base, short, signs[:1], math.inf, k, block, seed)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,13 +1,12 @@
 """Mixing sources to target weights.
 
 Words are summed per source, the weights share out all words by water-filling under a cap of ``most`` times each source,
-and each document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the fraction of
-its source's rate. Within a stratum (a hash slice of a source, about ``stratum`` documents) the copies are drawn
-systematically over the documents in order of size, so every document keeps exactly that probability while the words
-taken stay within about one document of the stratum's target. Hot sources are many strata, never one task.
+and each document is emitted floor(rate) times plus one Bernoulli copy, seeded by a hash of its doc_id, whose probability
+is the fraction of its source's rate. A document's copies depend on its id and its source's rate alone, so nothing is
+sorted or gathered.
 
 Defined results: null or empty texts have size 0 and take 0 words; a null source is a source of its own, ordered last;
-rows that repeat a doc_id are documents of their own; without any words every target is 0.
+rows that repeat a doc_id draw alike, as do all rows without one; without any words every target is 0.
 """
 
 from __future__ import annotations
@@ -46,11 +45,11 @@ def _ranked(sources: DataFrame, weights: list[int]) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("_p").orderBy(F.hex(F.encode("source", "utf-8")).asc_nulls_last()))
     rank = F.col("_before") + F.col("_own") - 1
     weight = reduce(lambda acc, x: F.when(F.pmod(rank, F.lit(len(weights))) == x[0], F.lit(x[1])).otherwise(acc), list(enumerate(weights))[1:], F.lit(weights[0]))
-    return s.withColumn("_own", own).join(offsets, "_p").select("source", "source_size", "n_docs", weight.cast("long").alias("weight"))
+    return s.withColumn("_own", own).join(offsets, "_p").select("source", "source_size", weight.cast("long").alias("weight"))
 
 
 def targets(sources: DataFrame, weights: list[int], most: int = 3) -> DataFrame:
-    """(source, source_size, n_docs, weight, target): the level at which the capped shares sum to all words.
+    """(source, source_size, weight, target): the level at which the capped shares sum to all words.
 
     Each round sums what is left for the sources not yet at their cap; only those sums reach the driver.
     """
@@ -67,26 +66,21 @@ def targets(sources: DataFrame, weights: list[int], most: int = 3) -> DataFrame:
     return s.withColumn("target", F.least(cap.cast("double"), F.lit(float(level)) * F.col("weight").cast("double")))
 
 
-def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", stratum: int = 4096, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], most: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (size times copies) and the whole row as r."""
     row = F.col("r")
     d = as_rows(docs).select(row[doc_id].alias("doc_id"), row[source].alias("source"), word_count(row[text]).alias("size"), "r")
-    sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     rated = targets(sources, weights, most).select(
         F.col("source").alias("_s"),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
-        F.ceil(F.col("n_docs") / F.lit(float(stratum))).cast("long").alias("_strata"),
     )
     u = _uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    j = d.join(broadcast_if_small(cut(rated)), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", u).withColumn("_slice", F.floor(F.col("_u") * F.col("_strata")))
-    order = Window.partitionBy("source", "_slice").orderBy(F.col("size"), F.col("_u"), F.col("doc_id"))
-    fraction = F.col("rate") - F.floor("rate")
-    start = _uniform(F.lit(seed), F.lit("start"), F.coalesce("source", F.lit("")), F.col("_slice").cast("string"))
-    i = F.col("_i").cast("double")
-    extra = F.floor(start + fraction * i) - F.floor(start + fraction * (i - 1))
-    out = j.withColumn("_i", F.row_number().over(order)).withColumn("copies", (F.floor("rate") + extra).cast("long"))
+    j = d.join(broadcast_if_small(cut(rated)), F.col("source").eqNullSafe(F.col("_s")))
+    extra = (u < F.col("rate") - F.floor("rate")).cast("long")
+    out = j.withColumn("copies", F.floor("rate").cast("long") + extra)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "r")
 
 

@@ -108,7 +108,7 @@ FROM doc LEFT JOIN at_word USING (r) LEFT JOIN by_item USING (r)
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY hex(encode(source)) ASC NULLS LAST) - 1) % 3 AS weight FROM s),
 c AS (SELECT *, sum(3 * source_size) OVER o AS held, sum(weight) OVER o AS shut FROM w WINDOW o AS (ORDER BY 3.0 * source_size / weight, source_size, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT sum(source_size) AS words, sum(weight) AS weights FROM w),
@@ -116,14 +116,11 @@ levels AS (
   SELECT CAST(words AS DOUBLE) / CAST(weights AS DOUBLE) AS level, 0 AS held, 0 AS shut FROM t WHERE weights > 0
   UNION ALL SELECT CAST(words - held AS DOUBLE) / CAST(weights - shut AS DOUBLE), held, shut FROM c, t WHERE weights > shut),
 best AS (SELECT max(level) AS level FROM levels WHERE held + level * ((SELECT weights FROM t) - shut) <= (SELECT words FROM t) * 1.000001 AND NOT EXISTS (SELECT 1 FROM c WHERE c.shut > levels.shut AND 3.0 * source_size / weight < level * 0.999999999) AND NOT EXISTS (SELECT 1 FROM c WHERE c.shut <= levels.shut AND 3.0 * source_size / weight > level * 1.000000001)),
-g AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, level * CAST(weight AS DOUBLE)) AS target, CAST(ceil(n_docs / 4096.0::DOUBLE) AS BIGINT) AS strata FROM w, best),
-j AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, strata,
+g AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, level * CAST(weight AS DOUBLE)) AS target FROM w, best),
+j AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, CAST(floor(u * strata) AS BIGINT) AS slice FROM j),
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, slice ORDER BY size, u, doc_id) AS DOUBLE) AS i, rate - floor(rate) AS f,
-  CAST(CAST('0x' || substr(md5('mix|start|' || coalesce(source, '') || '|' || slice), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS start FROM k)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor(start + f * i) - floor(start + f * (i - 1))) AS BIGINT) AS taken FROM n
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j
 """
 
 

@@ -7,7 +7,7 @@ of words around it: quotation marks and words of reporting count towards quotati
 logistic model over those counts, fitted on hits of a lexicon learned from the other half of the sample, gives the score.
 
 The lexicon and the model are learned from at most ``max_train`` labelled rows (the smallest hashes of doc_id), counted
-by Spark; what reaches the driver is at most ``MAX_TERMS`` counted terms and ``max_train`` feature rows.
+by Spark; what reaches the driver is the terms of that sample that stand out and ``max_train`` feature rows.
 
 Defined results: null or empty texts have no hits and score as such; without labelled rows of both kinds every score is
 0; rows that repeat a doc_id each score by their own text; labels of unknown documents are ignored.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MIN_FUZZY = 5
-MAX_TERMS = 20_000
+#: States and words a task keeps ready.
+STATES, WORDS = 20_000, 100_000
 STEMS = (3, 4, 5, 6, 7)
 WINDOW = 5
 QUOTES = frozenset("\"“”„«»‹›")
@@ -83,7 +84,7 @@ class Lexicon:
         for c in word:
             key = (states, c)
             if (after := steps.get(key)) is None:
-                if len(steps) > 200_000:
+                if len(steps) > STATES:
                     steps.clear()
                 after = steps[key] = self._step(states, c)
             if not after:
@@ -102,7 +103,7 @@ class Lexicon:
             hit = (2, w)
         elif len(word) >= MIN_FUZZY - 1 and (w := self.fuzzy(word)) > 0:
             hit = (1, w)
-        if len(self._seen) > 500_000:
+        if len(self._seen) > WORDS:
             self._seen.clear()
         self._seen[word] = hit
         return hit
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: s
     toxic = F.col("t0") + F.col("t1")
     lift = toxic / (toxic + F.col("c0") + F.col("c1"))
     base = (sizes["t0"] + sizes["t1"]) / sum(sizes.values())
-    terms = counted.filter((toxic >= 3) & (lift > F.lit(2 * base).cast("double"))).orderBy(F.desc(toxic * lift), "term", "stem").limit(MAX_TERMS).toPandas()
+    terms = counted.filter((toxic >= 3) & (lift > F.lit(2 * base).cast("double"))).toPandas().sort_values(["term", "stem"], ignore_index=True)
     halves = [_lexicon(terms, (1,), sizes), _lexicon(terms, (0,), sizes)]  # rows of half 0 are read with what half 1 taught
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
