@@ -1,17 +1,21 @@
 """Main-text extraction by deducing the template of each host.
 
 A page is read as a sequence of tokens: block tags with their path of enclosing block tags, and text blocks with their
-path. For every (host, token) the pages are folded into an occurrence vector, held as the number of pages and the
-exclusive or of hash(page, count), so that tokens with equal vectors get equal fingerprints without any group of pages
-being collected. Tokens that share a vector are an equivalence class; a class with enough support is valid, and the
-valid classes, nested by their paths, are the host's template. What a page has between template tokens are its slots:
-text blocks of the template are constant boilerplate, and the text in the remaining slots is extracted unless the
-template tags around the slot label it as a menu, header, footer, sidebar, notice, advert, form or comments. Where the
-template has an article or main slot, that slot is the text; its own text blocks stay even if copies of the page make
-them constant.
-
-Defined results: null or empty html gives an empty text; a host with fewer than ``least`` pages has no template and is
-read by its labels alone; a null or unparsable url is a host of its own; rows that repeat a page_id each give one row.
+path. For every (host, token) the pages of different content are folded into an occurrence vector, held as the number of
+pages and the exclusive or of hash(content, count), so that tokens with equal vectors get equal fingerprints without any
+group of pages being collected. Tokens that share a vector are an equivalence class; a class with enough support is
+valid, and the valid classes, nested by the paths of their tags, are the host's template. A page's text blocks lie in
+slots between the template's tags, each in that of its deepest enclosing template tag. A block that is itself a token of
+the template is constant; the text of a slot is extracted unless all it holds on the page is constant and links, or a
+tag around it is a menu, header, footer, sidebar, notice, advert, form or comments by its name or label. Where a page
+has an article or main element, its slots are those within.
+
+Copies of a page count once, and where constant blocks are half of the text or more the pages are variants of one text,
+so their blocks stay. Inside an article a label counts only as a whole class name, so that words of a class drop nothing.
+
+Defined results: null or empty html gives an empty text; a host with fewer than ``least`` pages of different content has
+no template and is read by its tags and labels alone; a null or unparsable url is a host of its own; rows that repeat a
+page_id each give one row; a tag that the page's end cuts off is no text.
 """
 
 from __future__ import annotations
@@ -37,8 +41,11 @@ CLOSES_P = BLOCKS - {"label", "option", "select", "button", "textarea", "iframe"
 LABELS = frozenset(
     "nav navbar navigation navigate menu submenu header masthead footer foot sidebar aside ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login register form search searchbox share sharing social comment comments commentlist disqus discussion respond reply replies related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets skip copyright disclaimer toolbar contentinfo complementary".split()
 )
+#: Whole class names that are no part of an article, inside one.
+NAMES = frozenset("ad ads advert advertisement adsense sponsored promo comment comments comment-list commentlist replies respond disqus share sharing social share-buttons social-share newsletter subscribe related related-posts related-articles recommended sidebar breadcrumb breadcrumbs pagination cookie cookies cookie-notice cookie-banner popup modal navigation menu nav toolbar".split())
+# every alternative takes what it has read for good, so that a tag that never ends is given up after one reading
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+|/|[^\s/>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*)|[\"'])*?)>",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|svg|math)\b(?>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-z][a-z0-9]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^<>]*+\Z""",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
@@ -68,13 +75,13 @@ def parse_blocks(page: str) -> list[tuple]:
     def push(tag: str, attrs: str) -> None:
         label = _label(attrs)
         _, path, skipped, inside = stack[-1] if stack else ("", "", False, False)
-        words = {w.lower() for w in _WORD.findall(label)}
+        words = {w.lower() for w in _WORD.findall(label)} if not inside else set(label.lower().split())
         if tag in ("article", "main") and not words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}:
             if skipped and not re.search(r"comment|aside|sidebar|related", path):  # an unclosed menu or header ends here
                 skipped = False
             inside = True
         elif tag not in ("html", "body"):
-            skipped = skipped or tag in SKIPPED or bool(words & LABELS) or (tag == "header" and not inside)
+            skipped = skipped or tag in SKIPPED or bool(words & (NAMES if inside else LABELS)) or (tag == "header" and not inside)
         stack.append((tag, f"{path}/{tag}{'.' + label if label else ''}", skipped, inside))
         out.append((stack[-1][1], None, False, "", False))
 
@@ -118,37 +125,59 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(host, token, pages, vector), folded over each batch."""
     for pdf in batches:
         folded: dict[tuple, list[int]] = {}
-        for host, page, html in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
+        for host, html in zip(pdf["host"], pdf["html"], strict=True):
             counts: dict[int, int] = {}
-            for path, _, inside, text, _ in parse_blocks(html or ""):
-                if not inside or not text:  # text inside an article is never constant
-                    t = _hash(path, text)
-                    counts[t] = counts.get(t, 0) + 1
+            for path, _, _, text, _ in parse_blocks(html or ""):
+                t = _hash(path, text)
+                counts[t] = counts.get(t, 0) + 1
+            content = xxhash.xxh64_intdigest(html or "")
             for t, n in counts.items():
                 x = folded.setdefault((host, t), [0, 0])
                 x[0] += 1
-                x[1] ^= xxhash.xxh64_intdigest(f"{page}|{n}") - 2**63
+                x[1] ^= xxhash.xxh64_intdigest(f"{content}|{n}") - 2**63
         yield pd.DataFrame([(h, t, n, v) for (h, t), (n, v) in folded.items()], columns=["host", "token", "pages", "vector"])
 
 
 def templates(pages: DataFrame, support: float = 0.8, least: int = 3) -> DataFrame:
-    """(host, tokens): the tokens of the valid equivalence classes of each host, from (host, page, html)."""
-    counted = pages.mapInPandas(_tokens, "host string, token long, pages long, vector long").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
-    all_pages = pages.groupBy("host").agg(F.count("*").alias("of")).withColumnRenamed("host", "_host")
+    """(host, tokens): the tokens of the valid equivalence classes of each host, from (host, html)."""
+    digest = F.xxhash64("html")
+    p = pages.withColumn("digest", digest).withColumn("page", F.xxhash64("page"))
+    # of the pages of one content the least stands for all; only contents that repeat are held
+    copies = p.groupBy("host", "digest").agg(F.min("page").alias("_first"), F.count("*").alias("_n"))
+    distinct = copies.groupBy("host").agg(F.count("*").alias("of")).withColumnRenamed("host", "_host").filter(F.col("of") >= least)
+    repeated = copies.filter("_n > 1").select(F.col("host").alias("_h"), F.col("digest").alias("_d"), "_first")
+    once = p.join(broadcast_if_small(cut(repeated)), F.col("host").eqNullSafe(F.col("_h")) & (F.col("digest") == F.col("_d")), "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col("page")))
+    counted = once.select("host", "html").mapInPandas(_tokens, "host string, token long, pages long, vector long").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
     classes = counted.filter(F.col("pages") >= least).groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("tokens"))
-    valid = classes.join(broadcast_if_small(cut(all_pages)), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("pages") >= F.lit(support) * F.col("of"))
+    valid = classes.join(broadcast_if_small(cut(distinct)), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("pages") >= F.lit(support) * F.col("of"))
     return valid.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
 
 
+def _slots(blocks: list[tuple], template: frozenset[int]) -> list[tuple[str, bool, tuple]]:
+    """(slot, constant, block) of each text block: the path of its deepest enclosing template tag, and whether it is of the template."""
+    known: dict[str, bool] = {"": True}
+    out = []
+    for b in blocks:
+        if b[1] is None:
+            known[b[0]] = _hash(b[0], "") in template
+            continue
+        slot = b[0]
+        while not known.get(slot, False):
+            slot = slot.rpartition("/")[0]
+        out.append((slot, _hash(b[0], b[3]) in template, b))
+    return out
+
+
 def extract_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The blocks in the page's open slots, one to a line."""
-    blocks = [b for b in parse_blocks(page or "") if b[1] is not None]
-    inside = [b for b in blocks if b[2] and not b[1]]
-    if inside:
-        kept = [b[3] for b in inside]
-    else:
-        kept = [b[3] for b in blocks if not b[1] and not (b[4] and "/li" in b[0]) and _hash(b[0], b[3]) not in template]
-    return "\n".join(kept)
+    placed = _slots(parse_blocks(page or ""), template)
+    inside = any(b[2] and not b[1] for _, _, b in placed)
+    left = [(slot, constant, b) for slot, constant, b in placed if not b[1] and (b[2] or not inside)]
+    if 2 * sum(len(b[3]) for _, constant, b in left if constant) >= sum(len(b[3]) for _, _, b in left):
+        left = [(slot, False, b) for slot, _, b in left]  # variants of one text
+    # a slot of links alone is a menu, unless it is within an article
+    menus = {slot for slot, _, b in left} - {slot for slot, constant, b in left if not constant and (b[2] or not b[4])} if not inside else set()
+    return "\n".join(b[3] for slot, constant, b in left if not constant and slot not in menus and (inside or not (b[4] and "/li" in b[0])))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +198,7 @@ def extract_main_text(pages: DataFrame, support: float = 0.8, least: int = 3, pa
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     known = cut(templates(p.select("host", F.col("page_id").alias("page"), "html"), support, least))
-    joined = p.join(broadcast_if_small(known, 20_000), "host", "left").select("page_id", "url", "html", "host", "tokens")
+    joined = p.join(broadcast_if_small(known, 500_000, F.size("tokens")), "host", "left").select("page_id", "url", "html", "host", "tokens")
     id_type = p.schema["page_id"].dataType.simpleString()
     url_type = p.schema["url"].dataType.simpleString()
     out = joined.mapInPandas(_extract, f"page_id {id_type}, url {url_type}, text string")

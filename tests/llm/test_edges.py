@@ -186,3 +186,31 @@ def test_licenses_as_published(spark):
     want += [[]] * 3
     got = {r.doc_id: [m["rule"] for m in r.matches] for r in licenses.detect_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_article_structure():
+    """Words of a class drop nothing inside an article, whole names do; a page cut off inside a tag is read once."""
+    import time
+
+    page = "<article><div class='post-header'><h1>Title</h1></div><p class='alert'>note</p><section class='related-work'>rel</section><p>body</p><div class='comments'><p>me too</p></div></article>"
+    assert html_extract.extract_text(page) == "Title\nnote\nrel\nbody"
+    for tail in ("<a " + "b" * 1_000_000, "<a " * 100_000, "<a href=\"" + "b" * 1_000_000, "<p" + " a='" * 100_000):
+        began = time.time()
+        assert html_extract.extract_text("<p>text</p>" + tail).startswith("text") and time.time() - began < 5
+
+
+def test_template_of_a_host(spark):
+    """Constant blocks and menus of links go with or without an article element, whatever their class; copies and variants of a page make no template."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    menu = "".join(f"<div class='z'><a href='/{i}'>Item {i}</a></div>" for i in range(4))
+    shape = "<html><body><div class='q'>{menu}</div><div class='m'><h1>Head {k}</h1><p>{text}</p><p>Seen everywhere on this host</p></div><div class='b'>Small print</div></body></html>"
+    rows = [(k, f"http://plain.example/{k}", shape.format(menu=menu, k=k, text=words(k))) for k in range(5)]
+    rows += [(10 + k, f"http://art.example/{k}", f"<body><article><h1>Head {k}</h1><p>We use crumbs</p><p>{words(k)}</p></article></body>") for k in range(4)]
+    rows += [(20 + k, f"http://copies.example/{k}", "<body><p>one text</p><p>two text</p></body>") for k in range(4)]
+    rows += [(30 + k, f"http://variants.example/{k}", f"<body><article><p>{words(1)}</p><p>{words(2)}</p><p>last {k}</p></article></body>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(got[k] == f"Head {k}\n{words(k)}" for k in range(5))
+    assert all(got[10 + k] == f"Head {k}\n{words(k)}" for k in range(4))
+    assert all(got[20 + k] == "one text\ntwo text" for k in range(4))
+    assert all(got[30 + k] == f"{words(1)}\n{words(2)}\nlast {k}" for k in range(4))
