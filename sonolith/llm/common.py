@@ -11,6 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows a broadcast side may have; a side beyond it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+BATCH_BYTES = 4 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -43,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most BATCH_BYTES from now on, so that long texts don't make large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, those with arrays counted as their ``weight`` of elements; it should be cheap to read (cut)."""
     if weight is None:

@@ -7,6 +7,7 @@ for each byte, mixed so that any of their bits are usable.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -27,6 +28,28 @@ LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold for later goes back to the system; for the end of a task, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run`` (batches to batches), with memory given back when it ends."""
+
+    @functools.wraps(run)
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import batches_by_bytes, broadcast_if_small, cut
 
 BLOCKS = frozenset("html head body header nav main article section aside footer div ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption form fieldset figure figcaption blockquote pre address details summary dialog menu title noscript select button iframe label option textarea template hr".split())
 #: Elements whose text is never part of the article.
@@ -195,6 +195,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_main_text(pages: DataFrame, support: float = 0.8, least: int = 3, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, text and n_chars (code points of text)."""
+    batches_by_bytes(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     known = cut(templates(p.select("host", F.col("page_id").alias("page"), "html"), support, least))

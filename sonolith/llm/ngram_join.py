@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_rows, broadcast_if_small, cut
+from .common import as_rows, batches_by_bytes, broadcast_if_small, cut
 from .components import cells, components
-from .hashing import U, joined, mix, slices, word_hashes
+from .hashing import U, joined, mix, slices, tidy, word_hashes
 
 #: Bits of a sketch for each shingle: pairs down to a similarity of about 0.71 pass the coarse ones, of 0.746 the fine ones.
 COARSE, FINE = 2, 16
@@ -340,9 +340,10 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     Defined results: null or empty texts have no shingles and are their own component; a null doc_id takes no part and
     has no component; rows that repeat a doc_id are one vertex that all their texts link. ids are integers.
     """
+    batches_by_bytes(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = cut(d.mapInArrow(_described(width), "doc_id long, n long, d1 long, d2 long, sketch binary"))
+    known = cut(d.mapInArrow(tidy(_described(width)), "doc_id long, n long, d1 long, d2 long, sketch binary"))
     some = known.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # rows that repeat a doc_id sign, but their sketch and set are those of all their texts' representatives
     classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -351,8 +352,8 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     out_of_play = broadcast_if_small(cut(copies.select("doc_id").distinct().join(repeated, "doc_id", "left_anti")))
     reps = d.filter(F.col("doc_id").isNotNull()).join(out_of_play, "doc_id", "left_anti")
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = reps.mapInArrow(_signed(width, num, den, buckets), "bucket long, b binary")
-    groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, "grp long, size long, doc_id long")
+    packed = reps.mapInArrow(tidy(_signed(width, num, den, buckets)), "bucket long, b binary")
+    groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_grouped), "grp long, size long, doc_id long")
     groups = cut(groups.distinct())
     sketches = some.join(out_of_play, "doc_id", "left_anti").select("doc_id", "n", "d1", "sketch").distinct()
     # a group of several parts is first compared part by part, the least member with each of them
@@ -368,11 +369,11 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
 
     def checked(rows: DataFrame, sketches: DataFrame, every: bool, done: DataFrame | None) -> DataFrame:
         """(grp, block, a, b, ok) of the candidate pairs of ``rows`` (grp, block, doc_id, label), ``done`` aside."""
-        found = by_block(rows, sketches).mapInPandas(_candidates(every, num, den), "grp long, block long, a long, b long")
+        found = by_block(rows, sketches).mapInPandas(tidy(_candidates(every, num, den)), "grp long, block long, a long, b long")
         found = cut(found if done is None else found.join(done, ["a", "b"], "left_anti"))
         pairs = found.select("a", "b").distinct()
         ids = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-        sets = cut(reps.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, s binary"))
+        sets = cut(reps.join(ids, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "doc_id long, s binary"))
         x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
         tested = cut(pairs.join(x, "a").join(y, "b").select("a", "b", verify("x", "y").alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")))
         return found.join(tested, ["a", "b"])
@@ -392,11 +393,11 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
     found = components(links)
     # then what else may be similar across components: finer sketches of the members that the coarse ones don't tell apart
     apart = cells(cut(labelled(members, found, ["grp"])), "doc_id", block // 2).select("grp", F.col("cell").alias("block"), "doc_id", "label").distinct()
-    near = by_block(apart, sketches).mapInPandas(_near_others(num, den), "grp long, block long, doc_id long, label long")
+    near = by_block(apart, sketches).mapInPandas(tidy(_near_others(num, den)), "grp long, block long, doc_id long, label long")
     near = cut(near.distinct())
     if near.limit(1).count():
         own = broadcast_if_small(cut(near.select("doc_id").distinct()))
-        fine = reps.join(own, "doc_id", "left_semi").mapInArrow(_described(width, FINE), "doc_id long, n long, d1 long, d2 long, sketch binary")
+        fine = reps.join(own, "doc_id", "left_semi").mapInArrow(tidy(_described(width, FINE)), "doc_id long, n long, d1 long, d2 long, sketch binary")
         fine = cut(fine.filter("n > 0").select("doc_id", "n", "d1", "sketch").distinct())
         two = cut(checked(near, fine, False, None))
         links = links.unionByName(two.filter("ok").select("a", "b"))

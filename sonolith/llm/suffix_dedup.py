@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
-from .hashing import PIECE, arrays, prefix_sums, span_hashes
+from .common import batches_by_bytes, broadcast_if_small, cut
+from .hashing import PIECE, arrays, prefix_sums, span_hashes, tidy
 
 GRAM = 32
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -184,9 +184,10 @@ def _parts(pdf: pd.DataFrame, size: int = 500) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 512) -> DataFrame:
     """(doc_id, _t, spans) of each text in (doc_id, _t, text) that holds bytes of a repeated window; spans are merged and sorted, end exclusive."""
+    batches_by_bytes(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _t long, m long, far int, near int, gram long, whole long"
-    rows = cut(docs.mapInArrow(_run_rows(depth), schema))
+    rows = cut(docs.mapInArrow(tidy(_run_rows(depth)), schema))
     key = ["gram", "far", "near", "whole"]
     classes = rows.groupBy(key).agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("doc_id", "_t", "m")])
     grams = classes.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("d")).filter("n >= 2")
@@ -197,10 +198,10 @@ def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 512) -> DataF
     mixed = held.filter("d >= 2")
     by_doc = mixed.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("m", "far", "near", "gram", "whole", "c")).alias("runs")).withColumnsRenamed({"doc_id": "r_id", "_t": "r_t"})
     texts = docs.join(broadcast_if_small(cut(by_doc), weight=F.size("runs")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_t") == F.col("r_t"))).select("doc_id", "_t", "text", "runs")
-    contexts = texts.mapInPandas(lambda it: _cut_contexts(it, depth), CONTEXT.format(id=kind))
+    contexts = texts.mapInPandas(tidy(lambda it: _cut_contexts(it, depth)), CONTEXT.format(id=kind))
     hot = broadcast_if_small(cut(held.filter(F.col("d") > group).select("gram").distinct()))
     span = f"doc_id {kind}, _t long, start long, end long"
-    few = contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInPandas(lambda it: _last_pass(it, depth), span)
+    few = contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInPandas(tidy(lambda it: _last_pass(it, depth)), span)
     spans = runs.unionByName(few)
     if hot.limit(1).count():
         spans = spans.unionByName(_hot_spans(contexts.join(hot, "gram", "left_semi"), depth, kind))
@@ -233,7 +234,7 @@ def _hot_spans(contexts: DataFrame, depth: int, kind: str) -> DataFrame:
                 yield pd.DataFrame({"gram": own["gram"].to_numpy(), "d": distance.astype(np.int32), "h0": h0.view(np.int64), "h1": h1.view(np.int64), "c": own["c"].to_numpy(), "doc_id": own["doc_id"].to_numpy(), "_t": own["_t"].to_numpy(), "m": own["m"].to_numpy()})
 
     once = contexts.dropDuplicates(["gram", "far", "near", "whole"])
-    suffixes = once.mapInPandas(each, f"gram long, d int, h0 long, h1 long, c long, doc_id {kind}, _t long, m long")
+    suffixes = once.mapInPandas(tidy(each), f"gram long, d int, h0 long, h1 long, c long, doc_id {kind}, _t long, m long")
     key = ["gram", "d", "h0", "h1"]
     repeated = suffixes.groupBy(key).agg(F.sum("c").alias("n")).filter("n >= 2").select(key)
     start = F.col("m") - F.col("d")

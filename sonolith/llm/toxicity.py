@@ -1,8 +1,10 @@
 """Toxicity scores from a fuzzy lexicon with context.
 
 A lexicon is learned from labelled rows: words, and word beginnings (stems), that mark toxic documents. Words of at
-least ``MIN_FUZZY`` letters sit in a trie that is intersected with Levenshtein automata of distance one, determinised
-state by state, so that misspelled terms are caught at about the cost of reading the word. Each hit is read with a window
+least ``MIN_FUZZY`` letters sit in a trie that is intersected with a word's Levenshtein automaton of distance one: states
+(node, errors) without an error follow the word down the trie, and at each node those of one error branch off, which take
+the rest of the word exactly; what a node takes as a rest, with any one letter before it or without, is held with the
+node. So misspelled terms are caught in a few look-ups a letter, without tables that grow. Each hit is read with a window
 of words around it: quotation marks and words of reporting count towards quotation, words of address towards abuse. A
 logistic model over those counts, fitted on hits of a lexicon learned from the other half of the sample, gives the score.
 
@@ -25,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batches_by_bytes, cut
+from .hashing import tidy
 
 MIN_FUZZY = 5
-#: States and words a task keeps ready.
-STATES, WORDS = 20_000, 100_000
+#: Words a task keeps ready, twice over.
+WORDS = 150_000
 STEMS = (3, 4, 5, 6, 7)
 WINDOW = 5
 QUOTES = frozenset("\"“”„«»‹›")
@@ -45,66 +48,64 @@ class Lexicon:
 
     terms: dict[str, float]
     stems: dict[str, float]
-    _next: dict = field(default_factory=dict, repr=False)
     _seen: dict = field(default_factory=dict, repr=False)
+    _before: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self._kids: list[dict[str, int]] = [{}]
-        self._ends: list[float] = [0.0]
+        self._below: list[dict[str, float]] = [{}]  # of each node the rests that end a term, with its weight
+        self._after: list[dict[str, float]] = [{}]  # the same after any one letter
         for word, weight in self.terms.items():
-            if len(word) >= MIN_FUZZY:
-                node = 0
-                for c in word:
-                    if c not in self._kids[node]:
-                        self._kids.append({})
-                        self._ends.append(0.0)
-                        self._kids[node][c] = len(self._kids) - 1
-                    node = self._kids[node][c]
-                self._ends[node] = max(self._ends[node], weight)
-        self._start = self._closed({(0, 0)})
-
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """With each state that a missing letter leads to."""
-        return frozenset(states | {(kid, 1) for node, e in states if e == 0 for kid in self._kids[node].values()})
-
-    def _step(self, states: frozenset, c: str) -> frozenset:
-        """The automaton's next state: a letter that fits, one too many, or one in another's place."""
-        out = set()
-        for node, e in states:
-            if (kid := self._kids[node].get(c)) is not None:
-                out.add((kid, e))
-            if e == 0:
-                out.add((node, 1))
-                out.update((k, 1) for k in self._kids[node].values())
-        return self._closed(out)
+            node = 0
+            for i in range(len(word) + 1 if len(word) >= MIN_FUZZY else 0):
+                self._below[node][word[i:]] = max(self._below[node].get(word[i:], 0.0), weight)
+                if i < len(word):
+                    rest = word[i + 1 :]
+                    self._after[node][rest] = max(self._after[node].get(rest, 0.0), weight)
+                    if word[i] not in self._kids[node]:
+                        self._kids[node][word[i]] = len(self._kids)
+                        for part in (self._kids, self._below, self._after):
+                            part.append({})
+                    node = self._kids[node][word[i]]
 
     def fuzzy(self, word: str) -> float:
         """The largest weight of a term at distance one at most, 0 if there is none."""
-        states, steps = self._start, self._next
-        for c in word:
-            key = (states, c)
-            if (after := steps.get(key)) is None:
-                if len(steps) > STATES:
-                    steps.clear()
-                after = steps[key] = self._step(states, c)
-            if not after:
-                return 0.0
-            states = after
-        return max((self._ends[node] for node, _ in states), default=0.0)
+        kids, below, after, node = self._kids, self._below, self._after, 0
+        found = [below[0][word]] if word in below[0] else []
+        for i in range(len(word)):
+            rest, shorter = word[i:], word[i + 1 :]
+            if rest in (own := after[node]):  # a letter missing
+                found.append(own[rest])
+            if shorter in own:  # one in another's place
+                found.append(own[shorter])
+            if shorter in below[node]:  # one too many
+                found.append(below[node][shorter])
+            if (node := kids[node].get(rest[0], -1)) < 0:
+                break
+        else:
+            if "" in after[node]:
+                found.append(after[node][""])
+        return max(found) if found else 0.0
 
     def match(self, word: str) -> tuple[int, float] | None:
         """(0 exact, 1 fuzzy or 2 stem, weight) of a word that hits."""
-        if word in self._seen:
-            return self._seen[word]
-        hit = None
-        if word in self.terms:
+        if len(self._seen) >= WORDS:  # words not met again for so long are forgotten
+            self._before, self._seen = self._seen, {}
+        if word in self._before:
+            hit = self._before[word]
+        elif word in self.terms:
             hit = (0, self.terms[word])
-        elif (w := max((self.stems.get(word[:n], 0.0) for n in STEMS if n < len(word)), default=0.0)) > 0:
-            hit = (2, w)
-        elif len(word) >= MIN_FUZZY - 1 and (w := self.fuzzy(word)) > 0:
-            hit = (1, w)
-        if len(self._seen) > WORDS:
-            self._seen.clear()
+        else:
+            hit, w, size = None, 0.0, len(word)
+            for n in STEMS:
+                if n >= size:
+                    break
+                if (head := word[:n]) in self.stems:
+                    w = max(w, self.stems[head])
+            if w > 0:
+                hit = (2, w)
+            elif size >= MIN_FUZZY - 1 and (w := self.fuzzy(word)) > 0:
+                hit = (1, w)
         self._seen[word] = hit
         return hit
 
@@ -112,8 +113,10 @@ class Lexicon:
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Counts and weights of a text's hits: exact, fuzzy, stem, distinct, per word, quoted and addressed."""
     tokens = _TOKEN.findall((text or "").lower())
-    match, seen = lexicon.match, lexicon._seen
-    hits = [(i, h) for i, t in enumerate(tokens) if (h := seen[t] if t in seen else match(t))]
+    hits = []
+    for i, t in enumerate(tokens):
+        if h := lexicon._seen[t] if t in lexicon._seen else lexicon.match(t):
+            hits.append((i, h))
     if not hits:
         return [0.0] * 9
     n, weight, quoted, addressed = [0, 0, 0], [0.0, 0.0, 0.0], 0, 0
@@ -183,6 +186,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model, from at most ``max_train`` labelled rows that are not held out; None without rows of both kinds."""
+    batches_by_bytes(docs.sparkSession)
     order = F.xxhash64(F.col("_id"))
     chosen = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), (F.col(label) != 0).alias("toxic"))
     chosen = F.broadcast(cut(chosen.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "_id").limit(max_train)))
@@ -191,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: s
     sizes = {k: sizes.get(k, 0) for k in ("t0", "t1", "c0", "c1")}
     if not sizes["t0"] + sizes["t1"] or not sizes["c0"] + sizes["c1"]:
         return None
-    counted = rows.select("text", "toxic", "half").mapInPandas(_counts, "term string, stem boolean, t0 long, t1 long, c0 long, c1 long")
+    counted = rows.select("text", "toxic", "half").mapInPandas(tidy(_counts), "term string, stem boolean, t0 long, t1 long, c0 long, c1 long")
     counted = counted.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "c0", "c1")])
     toxic = F.col("t0") + F.col("t1")
     lift = toxic / (toxic + F.col("c0") + F.col("c1"))
@@ -203,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: s
         for pdf in batches:
             yield pd.DataFrame({"f": [features(t, halves[h]) for t, h in zip(pdf["text"], pdf["half"], strict=True)], "y": pdf["toxic"].astype(float)})
 
-    fitted = rows.select("text", "toxic", "half").mapInPandas(read, "f array<double>, y double").toPandas()
+    fitted = rows.select("text", "toxic", "half").mapInPandas(tidy(read), "f array<double>, y double").toPandas()
     weights, bias = _fit(np.stack(fitted["f"].to_numpy()), fitted["y"].to_numpy())
     return Model(_lexicon(terms, (0, 1), sizes), weights, bias)
 
@@ -214,7 +218,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", into: str =
         return docs.withColumn(into, F.lit(0.0))
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score, na_action=None).astype(float)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(lambda it: (texts.map(model.score, na_action=None).astype(float) for texts in it))(batches)
 
     return docs.withColumn(into, scored(F.col(text)))
