@@ -29,6 +29,8 @@ from .common import batches_by_bytes, broadcast_if_small, cut
 from .hashing import PIECE, arrays, prefix_sums, span_hashes, tidy
 
 GRAM = 32
+#: Runs or spans a broadcast side may hold, some 50 MB.
+ELEMENTS = 800_000
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, from running minima to both sides of every width-th element."""
     blocks = np.full(-(-len(v) // width) * width, np.iinfo(v.dtype).max, v.dtype)
@@ -197,7 +199,7 @@ def repeated_spans(docs: DataFrame, depth: int = 400, group: int = 512) -> DataF
     # classes that share their gram with others: their suffixes are compared one by one
     mixed = held.filter("d >= 2")
     by_doc = mixed.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("m", "far", "near", "gram", "whole", "c")).alias("runs")).withColumnsRenamed({"doc_id": "r_id", "_t": "r_t"})
-    texts = docs.join(broadcast_if_small(cut(by_doc), weight=F.size("runs")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_t") == F.col("r_t"))).select("doc_id", "_t", "text", "runs")
+    texts = docs.join(broadcast_if_small(cut(by_doc), ELEMENTS, F.size("runs")), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_t") == F.col("r_t"))).select("doc_id", "_t", "text", "runs")
     contexts = texts.mapInPandas(tidy(lambda it: _cut_contexts(it, depth)), CONTEXT.format(id=kind))
     hot = broadcast_if_small(cut(held.filter(F.col("d") > group).select("gram").distinct()))
     span = f"doc_id {kind}, _t long, start long, end long"
@@ -245,7 +247,7 @@ def remove_repeats(docs: DataFrame, depth: int = 400, group: int = 512, doc_id:
     """Per row of ``docs``: doc_id, n_bytes, spans (removed byte ranges, end exclusive) and kept (the bytes that remain)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = cut(repeated_spans(d.filter(F.octet_length("text") >= depth), depth, group)).withColumnsRenamed({"doc_id": "s_id", "_t": "s_t"})
-    j = d.join(broadcast_if_small(spans, weight=F.size("spans")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("_t") == F.col("s_t")), "left")
+    j = d.join(broadcast_if_small(spans, ELEMENTS, F.size("spans")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("_t") == F.col("s_t")), "left")
     j = j.select("doc_id", F.encode("text", "utf-8").alias("b"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
     size = F.octet_length("b").cast("long")
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"])), F.concat(F.transform("spans", lambda s: s["start"]), F.array(size)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
