@@ -31,6 +31,10 @@ from .hashing import PIECE, arrays, prefix_sums, span_hashes, tidy
 GRAM = 32
 #: Runs or spans a broadcast side may hold, some 50 MB.
 ELEMENTS = 800_000
+#: Neighbouring distances from a gram that are told apart together first.
+BLOCK = 32
+
+
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, from running minima to both sides of every width-th element."""
     blocks = np.full(-(-len(v) // width) * width, np.iinfo(v.dtype).max, v.dtype)
@@ -113,24 +117,52 @@ def _cut_contexts(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.Da
             yield pd.DataFrame(out, columns=["gram", "far", "near", "whole", "c", "doc_id", "_t", "m", "b"])
 
 
-def _suffixes(pdf: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, distance from the gram, two hashes) of every suffix of the runs in ``pdf``, over whole windows of ``depth`` bytes."""
+def _hashes(pdf: pd.DataFrame, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes [start, end) of the rows of ``pdf`` numbered ``row``, which ascends."""
     sizes = pdf["b"].map(len).to_numpy()
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    n = sizes - depth + 1
-    row = np.repeat(np.arange(len(pdf)), n)
-    i = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
     data = np.frombuffer(b"".join(pdf["b"]), np.uint8)
     h0, h1 = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
     j = 0
     while j < len(pdf):  # rows of PIECE bytes at a time, as a gram may have more bytes than there are powers
         k = max(j + 1, int(np.searchsorted(starts + sizes, starts[j] + PIECE, "right")))
-        begin, end = starts[j], starts[k - 1] + sizes[k - 1]
         own = slice(*np.searchsorted(row, (j, k)))
-        at = starts[row[own]] + i[own] - begin
-        h0[own], h1[own] = (span_hashes(prefix_sums(data[begin:end], which), at, at + depth, which) for which in (0, 1))
+        base = starts[row[own]] - starts[j]
+        held = data[starts[j] : starts[k - 1] + sizes[k - 1]]
+        h0[own], h1[own] = (span_hashes(prefix_sums(held, which), base + start[own], base + end[own], which) for which in (0, 1))
         j = k
-    return row, pdf["far"].to_numpy()[row] - i, h0, h1
+    return h0, h1
+
+
+def _both(h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    return h0 ^ (h1 * np.uint64(0xFF51AFD7ED558CCD))
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place within its row) of ``n`` items a row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _suffixes(pdf: pd.DataFrame, depth: int, least: str = "near", most: str = "far") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance from the gram, two hashes) of the suffixes at distances ``least`` to ``most`` of each row, over whole windows of ``depth`` bytes."""
+    lo, hi, far = (pdf[x].to_numpy() for x in (least, most, "far"))
+    row, i = _spread(hi - lo + 1)
+    distance = hi[row] - i
+    at = far[row] - distance
+    return row, distance, *_hashes(pdf, row, at, at + depth)
+
+
+def _blocks(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """The distances of each row cut into blocks: (row, k, lo, hi, core, every), hashes of what all windows of the block share and of what they cover."""
+    near, far = pdf["near"].to_numpy(), pdf["far"].to_numpy()
+    row, i = _spread(far // BLOCK - near // BLOCK + 1)
+    k = near[row] // BLOCK + i
+    lo, hi = np.maximum(near[row], k * BLOCK), np.minimum(far[row], k * BLOCK + BLOCK - 1)
+    core = _both(*_hashes(pdf, row, far[row] - k * BLOCK, far[row] - k * BLOCK - BLOCK + 1 + depth))
+    every = _both(*_hashes(pdf, row, far[row] - hi, far[row] - lo + depth))
+    as_int = lambda x: x.astype(np.int32)
+    return pd.DataFrame({"row": row, "k": as_int(k), "lo": as_int(lo), "hi": as_int(hi), "core": core.view(np.int64), "every": every.view(np.int64)})
 
 
 def _spans(pdf: pd.DataFrame, row: np.ndarray, distance: np.ndarray, repeated: np.ndarray, depth: int) -> pd.DataFrame:
@@ -152,7 +184,7 @@ def _last_pass(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataF
         for part in _parts(pdf):
             row, distance, h0, h1 = _suffixes(part, depth)
             key = np.empty(len(row), [("g", np.int64), ("d", np.int64), ("h", np.uint64)])
-            key["g"], key["d"], key["h"] = part["gram"].to_numpy()[row], distance, h0 ^ (h1 * np.uint64(0xFF51AFD7ED558CCD))
+            key["g"], key["d"], key["h"] = part["gram"].to_numpy()[row], distance, _both(h0, h1)
             order = np.lexsort((key["h"], key["d"], key["g"]))
             s = key[order]
             group = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
@@ -226,21 +258,44 @@ def _merge(spans: pd.Series) -> pd.Series:
 
 
 def _hot_spans(contexts: DataFrame, depth: int, kind: str) -> DataFrame:
-    """The last pass for grams of too many contexts for one task: a row for each suffix, counted and joined back."""
+    """The last pass for grams of too many contexts for one task, as rows counted and joined back.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    One more digit comes first: the distances of a context in blocks of ``BLOCK``. A block whose core, the bytes all its
+    windows share, occurs once holds no repeated window; blocks equal in all their bytes repeat as a whole; only where
+    several kinds of block share a core, one of each kind is told apart suffix by suffix.
+    """
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in (pdf.iloc[i : i + 500].reset_index(drop=True) for i in range(0, len(pdf), 500)):
-                row, distance, h0, h1 = _suffixes(part, depth)
-                own = part.iloc[row]
-                yield pd.DataFrame({"gram": own["gram"].to_numpy(), "d": distance.astype(np.int32), "h0": h0.view(np.int64), "h1": h1.view(np.int64), "c": own["c"].to_numpy(), "doc_id": own["doc_id"].to_numpy(), "_t": own["_t"].to_numpy(), "m": own["m"].to_numpy()})
-
-    once = contexts.dropDuplicates(["gram", "far", "near", "whole"])
-    suffixes = once.mapInPandas(tidy(each), f"gram long, d int, h0 long, h1 long, c long, doc_id {kind}, _t long, m long")
-    key = ["gram", "d", "h0", "h1"]
-    repeated = suffixes.groupBy(key).agg(F.sum("c").alias("n")).filter("n >= 2").select(key)
-    start = F.col("m") - F.col("d")
-    return suffixes.filter("c = 1").join(repeated, key, "left_semi").select("doc_id", "_t", start.alias("start"), (start + depth).alias("end"))
+            for i in range(0, len(pdf), 500):
+                yield pdf.iloc[i : i + 500].reset_index(drop=True)
+
+    def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(batches):
+            out = _blocks(part, depth)
+            yield pd.concat((part.drop(columns="b").iloc[out.pop("row").to_numpy()].reset_index(drop=True), out), axis=1)
+
+    def in_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(batches):
+            row, distance, h0, h1 = _suffixes(part, depth, "lo", "hi")
+            own = part[["gram", "n", "doc_id", "_t", "m"]].iloc[row].reset_index(drop=True)
+            yield own.assign(d=distance.astype(np.int32), h0=h0.view(np.int64), h1=h1.view(np.int64))
+
+    key = ["gram", "far", "near", "whole"]
+    once = contexts.dropDuplicates(key)
+    blocks = once.mapInPandas(tidy(in_blocks), f"gram long, far int, near int, whole long, c long, doc_id {kind}, _t long, m long, k int, lo int, hi int, core long, every long")
+    core = ["gram", "k", "core"]
+    kind_of = [*core, "lo", "hi", "every"]
+    kinds = blocks.groupBy(kind_of).agg(F.sum("c").alias("n"), F.min(F.struct("far", "near", "whole")).alias("one"))
+    start = lambda distance: (F.col("m") - F.col(distance)).alias("start")
+    alike = blocks.filter("c = 1").join(kinds.filter("n >= 2").select(kind_of), kind_of, "left_semi").select("doc_id", "_t", start("hi"), (F.col("m") - F.col("lo") + depth).alias("end"))
+    several = kinds.groupBy(core).agg(F.count("*").alias("_kinds")).filter("_kinds >= 2").select(core)
+    ones = kinds.join(several, core, "left_semi").select("gram", "one.far", "one.near", "one.whole", "lo", "hi", "n")
+    suffixes = once.join(ones, key).mapInPandas(tidy(in_suffixes), f"gram long, n long, doc_id {kind}, _t long, m long, d int, h0 long, h1 long")
+    window = ["gram", "d", "h0", "h1"]
+    repeated = suffixes.groupBy(window).agg(F.sum("n").alias("n")).filter("n >= 2").select(window)
+    single = suffixes.filter("n = 1").join(repeated, window, "left_semi").select("doc_id", "_t", start("d"), (F.col("m") - F.col("d") + depth).alias("end"))
+    return alike.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, depth: int = 400, group: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

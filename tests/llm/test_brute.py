@@ -198,3 +198,27 @@ def test_digest_shape(spark):
     out = q.op4_repeated_bytes(spark, DIR).toPandas()
     gone = out[out.n_removed == out.n_bytes]
     assert (gone.kept_sha256 == hashlib.sha256(b"").hexdigest()).all() and (out.n_removed <= out.n_bytes).all()
+
+
+@pytest.mark.parametrize("group", [1, 512])
+def test_repeats_of_passages_in_many_contexts(spark, group):
+    """Passages cut at different places, each between other bytes, rows repeated: removed bytes as by comparing all windows."""
+    rng, depth = np.random.default_rng(3), 40
+    letters = lambda n, size=26: bytes(rng.integers(97, 97 + size, n)).decode()
+    passages = [letters(rng.integers(60, 260), 4) for _ in range(3)]
+    texts: list = [(1000, "a" * 300), (1001, "b" * 95), (1002, None)]
+    for i in range(60):
+        p = passages[i % 3]
+        texts.append((i, letters(rng.integers(0, 60)) + p[rng.integers(0, 20) : len(p) - rng.integers(0, 20)] + letters(rng.integers(0, 60)) + (p if i % 7 == 0 else "")))
+    texts += texts[3:6]
+    seen: dict = {}
+    for _, t in texts:
+        for j in range(len(t or "") - depth + 1):
+            seen[t[j : j + depth]] = seen.get(t[j : j + depth], 0) + 1
+
+    def kept(t: str) -> str:
+        gone = {x for j in range(len(t) - depth + 1) if seen[t[j : j + depth]] > 1 for x in range(j, j + depth)}
+        return "".join(c for x, c in enumerate(t) if x not in gone)
+
+    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth, group=group).collect()
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted((i, kept(t or "")) for i, t in texts)
