@@ -54,19 +54,22 @@ def key_profiles() -> list[tuple[int, str, list[float]]]:
 
 
 def key_estimate(df: DataFrame, chroma: list[Column], keep: list[str]) -> DataFrame:
-    """(keep, key, conf): the best Pearson correlation of the chroma with one of 24 profiles; ("C major", -2) for constant chroma."""
+    """(keep, key, conf) of each row, without a shuffle: the best Pearson correlation of the chroma with one of 24 profiles; ("C major", -2) for constant chroma."""
     rows = []
     for order, name, profile in key_profiles():
         centred = [p - sum(profile) / 12 for p in profile]
         length = math.sqrt(sum(p * p for p in centred))
-        rows.append((order, name, [p / length for p in centred]))
-    profiles = F.broadcast(df.sparkSession.createDataFrame(rows, "_o int, _key string, _p array<double>"))  # 24 rows
+        rows.append(F.struct(F.lit(order).alias("o"), F.lit(name).alias("key"), F.array(*[F.lit(p / length) for p in centred]).alias("p")))
     c = df.select(*keep, F.array(*chroma).alias("_c")).withColumn("_m", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x) / 12.0)
     c = c.withColumn("_c", F.transform("_c", lambda x: x - F.col("_m"))).withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
-    dot = F.aggregate(F.zip_with("_c", "_p", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    r = F.when(F.col("_n") > 1e-12, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.when(F.col("_n") > 0, F.col("_n"))))).otherwise(-2.0)
-    best = c.crossJoin(profiles).select(*keep, r.alias("_r"), "_o", "_key").groupBy(*keep).agg(F.max_by(F.struct("_key", "_r"), F.struct(F.round("_r", 9), -F.col("_o"))).alias("_b"))
-    return best.select(*keep, F.col("_b._key").alias("key"), F.col("_b._r").alias("conf"))
+
+    def matched(k: Column) -> Column:
+        dot = F.aggregate(F.zip_with("_c", k["p"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        r = F.when(F.col("_n") > 1e-12, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.when(F.col("_n") > 0, F.col("_n"))))).otherwise(-2.0)
+        return F.struct(F.round(r, 9).alias("near"), (-k["o"]).alias("first"), k["key"].alias("key"), r.alias("r"))
+
+    best = c.withColumn("_b", F.array_max(F.transform(F.array(*rows), matched)))
+    return best.select(*keep, F.col("_b.key").alias("key"), F.col("_b.r").alias("conf"))
 
 
 def tonal_spread(df: DataFrame, album: str, chroma: list[Column]) -> DataFrame:

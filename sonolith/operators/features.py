@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import circular, dsp
+from .stability import folded_tempo, windowed_vote
 
 FEATURES = ["onset_rate", "centroid_hz", "flatness", "zcr", "flux", "perc_ratio", "dyn_range_db", "chroma_entropy", "duration_s", "pulse_R"]
 LOG_FEATURES = ["onset_rate", "centroid_hz", "flatness", "zcr", "duration_s"]
@@ -73,6 +74,23 @@ def pulse(f: DataFrame, least: int = 8) -> DataFrame:
     return env.join(best, ["album", "track"], "left").select("album", "track", F.round(F.coalesce("b.R", F.lit(0.0)), 4).alias("pulse_R"), F.round(60 / F.coalesce("b.p", "p0"), 1).alias("pulse_bpm"))
 
 
+def windowed(f: DataFrame, size: float = 20.0) -> DataFrame:
+    """Per track the key and the tempo of its whole windows of ``size`` seconds, with the shares that agree (null with one window) and their number.
+
+    A last window that isn't whole counts only where it is the only one. An envelope is gathered a window at a time.
+    """
+    key = ["album", "track"]
+    w = f.withColumn("win", F.floor(F.col("t") / size).cast("long")).filter((F.col("win") == 0) | ((F.col("win") + 1) * size <= F.col("duration_s")))
+    chroma = [F.avg(F.element_at("chroma", i + 1)).alias(f"_c{i}") for i in range(12)]
+    own = w.groupBy(*key, "win").agg(*chroma, F.array_sort(F.collect_list(F.struct("frame", "onset"))).alias("e"), F.least(F.max("duration_s"), F.lit(size)).alias("d"))
+    keys = circular.key_estimate(own.withColumn("id", F.struct(*key)), [F.col(f"_c{i}") for i in range(12)], ["id", "win"])
+    votes = windowed_vote(keys, "id", F.col("win").cast("double"), "key", 1.0).select(F.col("id").alias("k_id"), F.col("modal").alias("key_windowed"), F.col("agreement").alias("key_agreement"), F.col("n_windows").alias("key_windows"))
+    period = F.pandas_udf(lambda env, rate: pd.Series([dsp.dominant_period(np.asarray(e, float), r) for e, r in zip(env, rate, strict=True)]), "double")
+    tempo = own.select(F.struct(*key).alias("id"), (60 / period(F.transform("e", lambda x: x["onset"]), F.size("e") / F.greatest("d", F.lit(0.1)))).alias("bpm"))
+    folded = folded_tempo(tempo, "id", "bpm").select("id", F.round("tempo", 1).alias("tempo_windowed_bpm"), F.col("agreement").alias("tempo_agreement"))
+    return folded.join(votes, F.col("id") == F.col("k_id")).select("id.album", "id.track", "key_windowed", "key_agreement", "key_windows", "tempo_windowed_bpm", "tempo_agreement")
+
+
 def sound_objects(f: DataFrame, tonic: float = 0.004, complex_: float = 0.02, drift: float = 0.35, impulse: float = 0.3) -> DataFrame:
     """Onset-bounded objects: duration, mass (X complex, Y varying, N tonic) and facture (' impulse, held otherwise)."""
     w = Window.partitionBy("album", "track").orderBy("frame")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..operators.clustering import pca
-from ..operators.features import FEATURES, LOG_FEATURES, frames, track_features
+from ..operators.features import FEATURES, LOG_FEATURES, frames, track_features, windowed
 from ..sources.audio import decode, scan_collection
 
 # Colours by order of first appearance.
@@ -23,7 +23,8 @@ def probe(spark: SparkSession, root: str) -> DataFrame:
 
 def extract(spark: SparkSession, root: str, out: str | None = None, duration: float | None = None) -> DataFrame:
     """The features of every track, written as Parquet to ``out`` if given."""
-    f = track_features(frames(decode(scan_collection(spark, root), duration=duration)).cache())
+    own = frames(decode(scan_collection(spark, root), duration=duration)).cache()
+    f = track_features(own).join(windowed(own), ["album", "track"], "left")
     if out:
         f.write.mode("overwrite").parquet(out)
         f = spark.read.parquet(out)

@@ -110,8 +110,8 @@ def drone(seconds: float, freq: float, am: float = 0.2, seed: int = 0, sr: int =
 def demo_collection(folder: str | Path, seconds: float = 10.0, sr: int = 22050) -> Path:
     """Two albums of three tracks each: plucked strings and drones."""
     root = Path(folder)
-    for album, make, tones in (("plucked album", lambda f, i: plucks(seconds, 0.25, f, i, sr), (220, 294, 392)), ("drone album", lambda f, i: drone(seconds, f, 0.2, 10 + i, sr), (110, 147, 196))):
+    for album, make, tones in (("harp", lambda f, i: plucks(seconds, 0.3, f, i, sr), (196, 262, 330)), ("organ", lambda f, i: drone(seconds, f, 0.2, 20 + i, sr), (98, 131, 165))):
         (root / album).mkdir(parents=True, exist_ok=True)
         for i, f in enumerate(tones):
-            (root / album / f"{i + 1:02d} {album.split()[0].removesuffix('ed')} {f}.wav").write_bytes(write_wav(make(f, i), sr))
+            (root / album / f"{i + 1:02d} {f} Hz.wav").write_bytes(write_wav(make(f, i), sr))
     return root
