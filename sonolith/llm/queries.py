@@ -5,18 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import quality, toxicity
 from .ann import nearest
-from .common import read
+from .common import read, split_words
 from .decontam import decontaminate
 from .html_extract import extract_main_text
 from .licenses import RULES, SENTENCES, detect_licenses
 from .line_dedup import drop_duplicate_lines
 from .mixing import mix
 from .ngram_join import similar_groups
+from .periodic_runs import SPACES, periodic_runs
 from .suffix_dedup import remove_repeats
 from .warc import archive_folder, base32, read_archive, write_pages
 
@@ -84,8 +85,49 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"), support=0.8, least=3)
 
 
+def _checksum(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one document in ten by the checksum of its doc_id turns periodic from a word on, as the contract of the query says."""
+    words = split_words(F.coalesce("text", F.lit("")), SPACES.removesuffix("+"))
+    h = _checksum()
+    d = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>")).alias("words"))
+    d = d.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rest = F.col("n") - F.col("a")
+    d = d.withColumn("p", F.lit(1) + F.floor(rest / (F.lit(3) + F.col("g") % 8)))
+    one = F.slice("words", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(one, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest.cast("int"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), again), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_periods(read(spark, sf_dir, "documents")), shortest=6, times=4)
+    above = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    first = F.aggregate("runs", F.col("runs")[0], lambda best, r: F.when(above(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("best", F.when(F.size("runs") > 0, first))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}") for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), max_train=20_000)
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text, op11_periodic_runs, op12_quality)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -161,5 +203,28 @@ FROM b
 """
 
 
+#: The unsigned CRC-32 of a doc_id's decimal digits, bit by bit; null for null.
+_CRC = r"""CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: [CAST(ord(CAST(doc_id AS VARCHAR)[k]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) END"""
+
+OP11_SQL = rf"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents),
+cut AS (SELECT r, doc_id, w0, h, len(w0) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM base),
+per AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+doc AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_concat(w0[:a], list_transform(range(0, n - a), lambda k: w0[a + k % p + 1])) END AS w FROM per),
+word AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS s FROM doc),
+pair AS (SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.s = y.s AND y.i > x.i WHERE 4 * (y.i - x.i) <= x.n),
+isle AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+span AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM isle GROUP BY r, q, k),
+run AS (SELECT r, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS period FROM span WHERE length >= 6 AND length >= 4 * q GROUP BY r, start, length),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / CAST(period AS DOUBLE) DESC, start, period) = 1),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(s, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_warc_round_trip": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_warc_round_trip": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL, "op11_periodic_runs": OP11_SQL}
