@@ -94,9 +94,9 @@ class Leader:
 
     z: np.ndarray
     n: np.ndarray
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.05
+    l1: float = 0.02
     l2: float = 0.1
 
     def weights(self, at=slice(None)) -> np.ndarray:
@@ -129,7 +129,7 @@ def _shard(z: np.ndarray, n: np.ndarray):
     return learn
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, bits: int = 18, shards: int = 4, rounds: int = 2, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, bits: int = 18, shards: int = 4, rounds: int = 4, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
     """The model, from at most ``max_train`` labelled rows that are not held out; None without rows of both kinds."""
     batches_by_bytes(docs.sparkSession)
     order = F.xxhash64("_id")

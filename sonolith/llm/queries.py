@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import manifest, quality, toxicity
 from .ann import nearest
-from .common import read, split_words
+from .common import lower_ascii, read, split_words
 from .decontam import decontaminate
 from .html_extract import extract_main_text
 from .licenses import RULES, SENTENCES, detect_licenses
@@ -126,8 +126,17 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = manifest.leaf([*map(F.col, fields[:-1]), F.when(F.col("text").isNotNull(), lower_ascii(F.col("text")))])
+    docs = read(spark, sf_dir, "documents").select(*fields, F.when(_checksum() % 3 == 0, tampered).alias("seen"))
+    out = manifest.manifest(docs, fields, group="lang", order="doc_id", keep=["doc_id", "seen"])
+    folded = manifest.fold(F.coalesce("seen", "leaf"), F.col("path"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text, op11_periodic_runs, op12_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_nearest, op4_repeated_bytes, op5_jaccard_groups, op6_warc_round_trip, op7_mix_sources, op8_toxicity, op9_licenses, op10_main_text, op11_periodic_runs, op12_quality, op13_manifest)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -226,5 +235,54 @@ FROM doc LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING
 """
 
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Levels that each of the two trees is raised: more than any table needs, as a lone node stays what it is.
+_RAISED = 10
+
+
+def _tree_sql(name: str, key: str) -> str:
+    """Tables {name}0 (key, i, d) raised: {name}k by level, each node a run of eight of the one below; a key's lone node stays."""
+    return ",\n".join(
+        f"""{name}{k + 1} AS (SELECT {key}, i // 8 AS i, CASE WHEN any_value(c) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS c FROM {name}{k}) GROUP BY {key}, i // 8)"""
+        for k in range(_RAISED)
+    )
+
+
+def _sides_sql(name: str, key: str, rows: str) -> str:
+    """For each node of {name}0 the joined digests on its left and right by level, as lists l and r with '' where it is alone in its key."""
+    parts = ",\n".join(
+        f"""{name}s{k} AS (SELECT {key}, i, coalesce(string_agg(d, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, count(*) OVER (PARTITION BY {key}) > 1 AS up FROM {name}{k})"""
+        for k in range(_RAISED)
+    )
+    joins = " ".join(f"JOIN {name}s{k} t{k} ON t{k}.{key} = x.{key} AND t{k}.i = x.i // {8**k}" for k in range(_RAISED))
+    steps = ", ".join(f"{{'l': t{k}.l, 'r': t{k}.r, 'up': t{k}.up}}" for k in range(_RAISED))
+    return f"{parts},\n{rows} AS (SELECT x.{key}, x.i, [{steps}] AS steps FROM {name}0 x {joins})"
+
+
+OP13_SQL = f"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql("text")} AS leaf,
+  CASE WHEN ({_CRC}) % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS seen FROM documents),
+docs AS (SELECT *, dense_rank() OVER (ORDER BY hex(encode(lang)) NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM base),
+a0 AS (SELECT g, i, leaf AS d FROM docs),
+{_tree_sql("a", "g")},
+b0 AS (SELECT 0 AS z, g AS i, d FROM a{_RAISED}),
+{_tree_sql("b", "z")},
+{_sides_sql("a", "g", "apath")},
+{_sides_sql("b", "z", "bpath")},
+full_path AS (SELECT doc_id, leaf, seen, a{_RAISED}.d AS subroot, b{_RAISED}.d AS root, list_filter(list_concat(apath.steps, bpath.steps), lambda s: s.up) AS steps
+  FROM docs JOIN apath ON apath.g = docs.g AND apath.i = docs.i JOIN bpath ON bpath.i = docs.g JOIN a{_RAISED} ON a{_RAISED}.g = docs.g CROSS JOIN b{_RAISED})
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(seen, leaf)], list_transform(steps, lambda s: s.l || '|' || s.r)), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root,
+  folded_root = root AS verified
+FROM full_path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_warc_round_trip": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_warc_round_trip": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_licenses": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op13_manifest": OP13_SQL}
