@@ -124,7 +124,7 @@ def _shard(z: np.ndarray, n: np.ndarray):
         for r in rows.sort_values("turn").itertuples():
             own.learn(np.append(r.place, bias), np.append(r.value, 1.0), float(r.good))
         at = np.flatnonzero(own.n)
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "place": [at.astype(np.int32)], "z": [own.z[at]], "n": [own.n[at]]})
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "place": [at.astype(np.int32)], "z": [own.z[at].astype(np.float32)], "n": [own.n[at].astype(np.float32)]})
 
     return learn
 
@@ -155,11 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, bits: int
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
-        done = made.groupBy("shard").applyInPandas(_shard(z.astype(np.float32), n.astype(np.float32)), "shard int, place array<int>, z array<double>, n array<double>").collect()
-        z, n = np.zeros(size), np.zeros(size)
-        for r in sorted(done, key=lambda r: r["shard"]):
-            z[r["place"]] += np.array(r["z"]) / len(done)
-            n[r["place"]] += np.array(r["n"]) / len(done)
+        done = made.groupBy("shard").applyInPandas(_shard(z.astype(np.float32), n.astype(np.float32)), "shard int, place array<int>, z array<float>, n array<float>").toArrow().sort_by("shard")
+        place, parts = done["place"].combine_chunks().flatten().to_numpy(), len(done)
+        z, n = (np.bincount(place, done[c].combine_chunks().flatten().to_numpy(), size) / parts for c in "zn")
     return Model(Leader(z, n).weights().astype(np.float32), bits)
 
 
