@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..operators.clustering import pca
-from ..operators.features import FEATURES, LOG_FEATURES, frames, track_features, windowed
-from ..sources.audio import decode, scan_collection
+from ..operators.features import FEATURES, LOG_FEATURES, guarded_frames, track_features, windowed
+from ..sources.audio import scan_collection
 
 # Colours by order of first appearance.
 PALETTE = ["#4269d0", "#efb118", "#ff725c", "#6cc5b0", "#3ca951", "#ff8ab7", "#a463f2", "#97bbf5"]
@@ -21,16 +22,28 @@ def probe(spark: SparkSession, root: str) -> DataFrame:
     return scan_collection(spark, root).groupBy("album").agg(F.count("*").alias("n_tracks"), F.sum("length").alias("bytes"), F.array_sort(F.collect_list("track")).alias("tracks"))
 
 
-def extract(spark: SparkSession, root: str, out: str | None = None, duration: float | None = None) -> DataFrame:
-    """The features of every track, written as Parquet to ``out`` if given."""
-    own = frames(decode(scan_collection(spark, root), duration=duration)).cache()
-    f = track_features(own).join(windowed(own), ["album", "track"], "left")
+def extract(spark: SparkSession, root: str, out: str | None = None, duration: float | None = None, force: bool = False, retry_cap_s: float | None = 600.0, memory_mb: int | None = 4096) -> DataFrame:
+    """The features of every track of ``root``, and error where a track has none; kept as Parquet in ``out`` if given, and read from there if it was written before, unless ``force``."""
+    if out and not force and written(spark, out):
+        return spark.read.parquet(out)
+    tracks = scan_collection(spark, root)
+    own = guarded_frames(tracks, duration, retry_cap_s, memory_mb).persist(StorageLevel.DISK_ONLY)
+    heard = own.filter("error is null")
+    f = track_features(heard).join(windowed(heard), ["album", "track"], "left")
+    f = f.unionByName(own.filter("error is not null").select("album", "track", "error"), allowMissingColumns=True)
     if out:
         f.write.mode("overwrite").parquet(out)
+        own.unpersist()
         f = spark.read.parquet(out)
     return f
 
 
+def written(spark: SparkSession, folder: str) -> bool:
+    """Whether ``folder`` holds a table that was written to its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def landscape_svg(coords: DataFrame, album: str, size: int = 480) -> str:
     """A scatter of pc1 and pc2 coloured by album, for a catalogue's worth of points."""
     rows = coords.orderBy(album).collect()
@@ -45,7 +58,7 @@ def report(features: DataFrame, out: str | Path, title: str) -> Path:
     """README.md, album_stats.json and landscape.svg of a table of features; album-level rows and a catalogue's points reach the driver."""
     folder = Path(out)
     folder.mkdir(parents=True, exist_ok=True)
-    f = features.cache()
+    f = (features.filter("error is null") if "error" in features.columns else features).cache()
     stats = corpus.album_stats(f, "album", FEATURES).join(corpus.conditional_share(f, "album", F.col("key").contains("minor"), "minor_share"), "album").orderBy("album")
     rows = stats.collect()
     z = corpus.zscore(f, FEATURES, LOG_FEATURES).withColumn("_v", F.array(*[f"z_{c}" for c in FEATURES]))

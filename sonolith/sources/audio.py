@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..functions.naming import AUDIO_EXTS, VIDEO_EXTS, extension, start_time, stem
 
-CHUNKS = "path string, album string, track string, chunk int, start_s double, sr int, duration_s double, samples array<float>, error string"
+CHUNKS = "path string, album string, track string, chunk int, start_s double, sr int, duration_s double, heard_s double, before int, own int, extent array<double>, samples array<float>, capped_s double, error string"
+_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 
 
 def scan_collection(spark: SparkSession, root: str, exclude: list[str] = (), suffixes: list[str] = AUDIO_EXTS) -> DataFrame:
@@ -64,24 +66,22 @@ def write_wav(samples: np.ndarray, sr: int) -> bytes:
     return out.getvalue()
 
 
-def decode(files: DataFrame, chunk_s: float = 60.0, overlap: int = 1536, offset: float = 0.0, duration: float | None = None) -> DataFrame:
-    """The mono samples of ``files`` (path, album, track), a row a chunk; chunks overlap by what a frame reaches over. A file that can't be read is a row with an error."""
+def chunks_of(path: str, album: str, track: str, content: bytes, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, capped: bool = False) -> Iterator[pd.DataFrame]:
+    """The chunks of one file: whole frames each, with the frames and the extent of the track that theirs depend on."""
+    x, sr = read_wav(content)
+    y = x.mean(axis=0)[int(offset * sr) :]
+    y = y if duration is None else y[: int(duration * sr)]
+    heard = y if trim_db is None else y[dsp.audible(y, trim_db)]
+    whole, n, step = dsp.extent(heard, sr), dsp.n_frames(len(heard)), max(1, int(chunk_s * sr) // dsp.HOP)
+    for i, a in enumerate(range(0, n, step)):
+        b = min(a + step, n)
+        before, after = min(dsp.CONTEXT, a), min(dsp.CONTEXT, n - b)
+        samples = dsp.around(heard, a - before, b + after).astype(np.float32)
+        yield pd.DataFrame([(path, album, track, i, a * dsp.HOP / sr, sr, len(y) / sr, len(heard) / sr, before, b - a, [whole.power, whole.mel, whole.low, whole.high], samples, duration if capped else None, None)], columns=_COLUMNS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        for pdf in batches:
-            for path, album, track, content in zip(pdf["path"], pdf["album"], pdf["track"], pdf["content"], strict=True):
-                try:
-                    x, sr = read_wav(content)
-                except Exception as e:  # noqa: BLE001 - any file may be broken in any way
-                    yield pd.DataFrame([(path, album, track, 0, 0.0, 0, None, None, f"{type(e).__name__}: {e}")], columns=columns)
-                    continue
-                y = x.mean(axis=0)[int(offset * sr) :]
-                y = y if duration is None else y[: int(duration * sr)]
-                step = int(chunk_s * sr) // 512 * 512
-                for i, at in enumerate(range(0, max(1, len(y)), step)):
-                    yield pd.DataFrame([(path, album, track, i, at / sr, sr, len(y) / sr, y[at : at + step + overlap], None)], columns=columns)
 
+def with_contents(files: DataFrame) -> DataFrame:
+    """``files`` (path, album, track) with their contents, read by one scan of the folder that they share."""
     # of each store, the folder that all its files lie in: what the least and the greatest path have in common
     store = F.regexp_extract("path", r"^([^/]*:(?://[^/]+)?)?/", 1)
     ends = files.groupBy(store).agg(F.min("path").alias("a"), F.max("path").alias("b")).collect()
@@ -90,8 +90,21 @@ def decode(files: DataFrame, chunk_s: float = 60.0, overlap: int = 1536, offset:
     loaded = content.load(roots) if roots else files.withColumn("content", F.lit(b""))
     if roots and "length" in files.columns:  # longer files, of other folders, aren't read
         loaded = loaded.filter(F.col("length") <= files.agg(F.max("length")).first()[0])
-    joined = files.select("path", "album", "track").join(loaded.select(F.col("path"), F.col("content")), "path")
-    return joined.mapInPandas(run, CHUNKS)
+    return files.select("path", "album", "track").join(loaded.select(F.col("path"), F.col("content")), "path")
+
+
+def decode(files: DataFrame, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None) -> DataFrame:
+    """The mono samples of ``files`` (path, album, track), a row a chunk, silence at both ends trimmed below ``trim_db`` if given. A file that can't be read is a row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, album, track, content in zip(pdf["path"], pdf["album"], pdf["track"], pdf["content"], strict=True):
+                try:
+                    yield from chunks_of(path, album, track, content, chunk_s, offset, duration, trim_db)
+                except Exception as e:  # noqa: BLE001 - any file may be broken in any way
+                    yield pd.DataFrame([(path, album, track, 0, 0.0, 0, None, None, 0, 0, None, None, None, f"{type(e).__name__}: {e}")], columns=_COLUMNS)
+
+    return with_contents(files).mapInPandas(run, CHUNKS)
 
 
 def plucks(seconds: float, spacing: float, freq: float, seed: int = 0, sr: int = 22050) -> np.ndarray:
