@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import circular, dsp
@@ -14,6 +14,7 @@ from ..sources.audio import chunks_of, with_contents
 from ..sources.guard import guarded
 from . import rhythm
 from .stability import folded_tempo, windowed_vote
+from .timbre import object_profile, sound_objects  # noqa: F401, part of what tracks are described by
 
 FEATURES = ["onset_rate", "centroid_hz", "flatness", "zcr", "flux", "perc_ratio", "dyn_range_db", "chroma_entropy", "duration_s", "pulse_R"]
 LOG_FEATURES = ["onset_rate", "centroid_hz", "flatness", "zcr", "duration_s"]
@@ -126,19 +127,3 @@ def windowed(f: DataFrame, size: float = 20.0) -> DataFrame:
     tempo = own.select(F.struct(*key).alias("id"), (60 / period(F.transform("e", lambda x: x["onset"]), F.size("e") / F.greatest("d", F.lit(0.1)))).alias("bpm"))
     folded = folded_tempo(tempo, "id", "bpm").select("id", F.round("tempo", 1).alias("tempo_windowed_bpm"), F.col("agreement").alias("tempo_agreement"))
     return folded.join(votes, F.col("id") == F.col("k_id")).select("id.album", "id.track", "key_windowed", "key_agreement", "key_windows", "tempo_windowed_bpm", "tempo_agreement")
-
-
-def sound_objects(f: DataFrame, tonic: float = 0.004, complex_: float = 0.02, drift: float = 0.35, impulse: float = 0.3) -> DataFrame:
-    """Onset-bounded objects: duration, mass (X complex, Y varying, N tonic) and facture (' impulse, held otherwise)."""
-    w = Window.partitionBy("album", "track").orderBy("frame")
-    o = f.withColumn("object", F.sum(F.col("is_onset").cast("int")).over(w))
-    g = o.groupBy("album", "track", "object").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.median("flatness").alias("flat"), F.stddev_pop(F.log2(F.greatest("centroid", F.lit(1.0)))).alias("spread"))
-    g = g.withColumn("duration", F.col("t1") - F.col("t0")).filter("duration >= 0.05")
-    mass = F.when(F.col("flat") >= complex_, "X").when((F.col("flat") >= tonic) | (F.col("spread") > drift), "Y").otherwise("N")
-    return g.select("album", "track", "object", "t0", "t1", "duration", mass.alias("mass"), F.when(F.col("duration") < impulse, "'").otherwise("").alias("facture"))
-
-
-def object_profile(objects: DataFrame) -> DataFrame:
-    """Per track the share of sounding time of each type of object."""
-    t = objects.groupBy("album", "track", F.concat("mass", "facture").alias("type")).agg(F.sum("duration").alias("d"))
-    return t.select("album", "track", "type", F.round(F.col("d") / F.sum("d").over(Window.partitionBy("album", "track")), 4).alias("share"))

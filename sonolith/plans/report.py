@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus
+from ..operators import corpus, timbre
 from ..operators.clustering import pca
 from ..operators.features import FEATURES, LOG_FEATURES, guarded_frames, track_features, windowed
 from ..sources.audio import scan_collection
@@ -29,7 +29,7 @@ def extract(spark: SparkSession, root: str, out: str | None = None, duration: fl
     tracks = scan_collection(spark, root)
     own = guarded_frames(tracks, duration, retry_cap_s, memory_mb).persist(StorageLevel.DISK_ONLY)
     heard = own.filter("error is null")
-    f = track_features(heard).join(windowed(heard), ["album", "track"], "left")
+    f = track_features(heard).join(windowed(heard), ["album", "track"], "left").join(timbre.profile_maps(timbre.sound_objects(heard)), ["album", "track"], "left")
     f = f.unionByName(own.filter("error is not null").select("album", "track", "error"), allowMissingColumns=True)
     if out:
         f.write.mode("overwrite").parquet(out)

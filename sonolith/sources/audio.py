@@ -54,6 +54,12 @@ def read_wav(data: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).T, sr
 
 
+def samples_of(content: bytes) -> tuple[np.ndarray, int]:
+    """(mono samples, sample rate) of a file's contents."""
+    x, sr = read_wav(content)
+    return x.mean(axis=0), sr
+
+
 def write_wav(samples: np.ndarray, sr: int) -> bytes:
     """16-bit PCM of a mono or (channels, n) signal."""
     out = io.BytesIO()
@@ -68,8 +74,8 @@ def write_wav(samples: np.ndarray, sr: int) -> bytes:
 
 def chunks_of(path: str, album: str, track: str, content: bytes, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, capped: bool = False) -> Iterator[pd.DataFrame]:
     """The chunks of one file: whole frames each, with the frames and the extent of the track that theirs depend on."""
-    x, sr = read_wav(content)
-    y = x.mean(axis=0)[int(offset * sr) :]
+    y, sr = samples_of(content)
+    y = y[int(offset * sr) :]
     y = y if duration is None else y[: int(duration * sr)]
     heard = y if trim_db is None else y[dsp.audible(y, trim_db)]
     whole, n, step = dsp.extent(heard, sr), dsp.n_frames(len(heard)), max(1, int(chunk_s * sr) // dsp.HOP)
