@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import silhouette, zscore
+from .blocks import silhouettes
+from .corpus import zscore
 
 
 def pca(df: DataFrame, features: list[str], keep: list[str], k: int = 2) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -28,22 +32,21 @@ def pca(df: DataFrame, features: list[str], keep: list[str], k: int = 2) -> tupl
     return z.select(*keep, *[F.round(c, 3).alias(f"pc{p + 1}") for p, c in enumerate(coords)]), values[:k] / max(values.sum(), 1e-12), loadings[:k]
 
 
-def kmeans_sweep(df: DataFrame, ids: str, features: list[str], ks: list[int], seed: int = 0, sample: int = 2000) -> DataFrame:
-    """(ids, cluster, k, silhouette) for the k of the best silhouette, the first of equals; ks that leave a cluster empty are passed over.
+def kmeans_sweep(df: DataFrame, ids: str, features: list[str], ks: Iterable[int] | None = None, seed: int = 0) -> DataFrame:
+    """(ids, cluster, k, silhouette) for the k of the best silhouette over all rows, the first of equals; ks (2 to 8, or fewer than the rows) that leave a cluster empty are passed over.
 
-    The silhouette is that of at most ``sample`` rows, the smallest hashes of ``ids``; its pairs would grow with the square.
+    All numbers of clusters are judged in one pass over the distances of blocks of rows.
     """
     z = zscore(df, features).select(ids, *[f"z_{c}" for c in features])
-    v = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="_v").transform(z).cache()
-    judged = z.orderBy(F.xxhash64(ids), ids).limit(sample).select(ids, F.array(*[f"z_{c}" for c in features]).alias("_a"))
-    best = None
-    for k in ks:
-        out = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(v).transform(v).select(ids, "cluster")
-        if out.select("cluster").distinct().count() < k:
-            continue
-        s = silhouette(judged.join(out, ids), ids, "cluster", "_a").first()["silhouette"]
-        if best is None or s > best[0]:
-            best = (s, k, out)
-    if best is None:
+    v = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="_v").transform(z).persist(StorageLevel.DISK_ONLY)
+    out, tried = v, []
+    for k in ks or range(2, min(9, v.count())):
+        done = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=f"_k{k}").fit(v).transform(out)
+        if done.select(f"_k{k}").distinct().count() == k:
+            out, tried = done, [*tried, k]
+    if not tried:
         raise ValueError("every number of clusters left one empty")
-    return best[2].withColumns({"k": F.lit(best[1]), "silhouette": F.round(F.lit(float(best[0])), 6)})
+    rows = out.select(ids, F.array(*[f"z_{c}" for c in features]).alias("_a"), F.array(*[F.col(f"_k{k}").cast("string") for k in tried]).alias("_l"))
+    score = {r["which"]: r["silhouette"] for r in silhouettes(rows, ids, "_a", "_l").collect()}
+    best = max(range(len(tried)), key=lambda i: (round(score.get(i, -1.0), 9), -i))
+    return out.select(ids, F.col(f"_k{tried[best]}").alias("cluster"), F.lit(tried[best]).alias("k"), F.round(F.lit(float(score.get(best, 0.0))), 6).alias("silhouette"))

@@ -100,30 +100,36 @@ def classify(frames: DataFrame, level: str, flat: str, variability: str, music_f
     return frames.join(p95, "recording").withColumn("label", label).drop("_p95")
 
 
+def _next_length(left: list[list]) -> float:
+    """The length of the next span in reverse order, with those of its label right after it."""
+    label, start, end = left[-1][1], left[-1][2], left[-1][3]
+    for x in reversed(left[:-1]):
+        if x[1] != label:
+            break
+        end = x[3]
+    return end - start
+
+
 def absorb(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The spans of one recording with those shorter than ``least`` given to their longer neighbour, first ones first."""
-    spans = [list(x) for x in pdf.sort_values("start")[["recording", "label", "start", "end"]].itertuples(index=False)]
-
-    def fused(items: list[list]) -> list[list]:
-        out: list[list] = []
-        for x in items:
-            if out and out[-1][1] == x[1]:
-                out[-1][3] = x[3]
-            else:
-                out.append(x)
-        return out
-
-    spans = fused(spans)
-    while len(spans) > 1 and (short := next((i for i, x in enumerate(spans) if x[3] - x[2] < least), None)) is not None:
-        left = spans[short - 1] if short else None
-        right = spans[short + 1] if short + 1 < len(spans) else None
-        _, _, a, b = spans[short]
-        if right is None or (left is not None and left[3] - left[2] >= right[3] - right[2]):
-            left[3] = b
+    """The spans of one recording with those shorter than ``least`` given to their longer neighbour, first ones first.
+
+    One pass: what lies before the first short span stays long, as spans only grow.
+    """
+    done: list[list] = []
+    left = [list(x) for x in pdf.sort_values("start", ascending=False)[["recording", "label", "start", "end"]].itertuples(index=False)]
+    while left:
+        span = left.pop()
+        while left and left[-1][1] == span[1]:
+            span[3] = left.pop()[3]
+        if done and done[-1][1] == span[1]:
+            done[-1][3] = span[3]
+        elif span[3] - span[2] >= least or not (done or left):
+            done.append(span)
+        elif not left or (done and done[-1][3] - done[-1][2] >= _next_length(left)):
+            done[-1][3] = span[3]
         else:
-            right[2] = a
-        spans = fused(spans[:short] + spans[short + 1 :])
-    return pd.DataFrame(spans, columns=["recording", "label", "start", "end"])
+            left[-1][2] = span[2]
+    return pd.DataFrame(done, columns=["recording", "label", "start", "end"])
 
 
 def regions(frames: DataFrame, least: float = 5.0) -> DataFrame:

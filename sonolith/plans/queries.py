@@ -355,4 +355,4 @@ def pca_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(10)])
-    return kmeans_sweep(e, "vec_id", [f"f{i}" for i in range(10)], ks=[2, 3, 4])
+    return kmeans_sweep(e, "vec_id", [f"f{i}" for i in range(10)])

@@ -61,3 +61,9 @@ def created(files: DataFrame, zone: str | None = None) -> DataFrame:
 
     found = files.select("path").distinct().mapInPandas(run, "path string, created_utc timestamp_ntz")
     return files.join(found, "path", "left").withColumn("created", F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("created_utc")))
+
+
+def with_start_times(recordings: DataFrame, zone: str | None = None) -> DataFrame:
+    """``recordings`` with started from the file's name, else from its header."""
+    known = created(recordings, zone)
+    return known.withColumn("started", F.coalesce("started", F.col("created").cast(recordings.schema["started"].dataType))).drop("created", "created_utc")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sonolith.operators import harmony, space
 from sonolith.sources.audio import plucks, scan_collection, scan_recordings, write_wav
-from sonolith.sources.headers import created, creation_time
+from sonolith.sources.headers import created, creation_time, with_start_times
 
 SR = 22050
 
@@ -100,3 +100,5 @@ def test_created_in_a_zone(spark, tmp_path):
     assert out["a"].created_utc == WHEN and out["a"].created == WHEN + timedelta(hours=2)
     assert out["b"].created_utc is None and out["b"].created is None
     assert str(out["20240102_030405"].started) == "2024-01-02 03:04:05" and len(out) == 3
+    began = {r.track: r.started for r in with_start_times(scan_recordings(spark, str(tmp_path)), "Europe/Oslo").collect()}
+    assert str(began["a"]) == str(WHEN + timedelta(hours=2)) and began["b"] is None and str(began["20240102_030405"]) == "2024-01-02 03:04:05"
