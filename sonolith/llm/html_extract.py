@@ -10,8 +10,9 @@ the template is constant; the text of a slot is extracted unless all it holds on
 tag around it is a menu, header, footer, sidebar, notice, advert, form or comments by its name or label. Where a page
 has an article or main element, its slots are those within.
 
-Copies of a page count once, and where constant blocks are half of the text or more the pages are variants of one text,
-so their blocks stay. Inside an article a label counts only as a whole class name, so that words of a class drop nothing.
+Copies of a page count once. Where a page's constant text blocks, links aside, are at least twice as many as its own, the pages are
+variants of one text, and their blocks stay. Inside an article a class name counts only if all its words are of
+boilerplate and layout, so that "share-price" drops nothing; outside, a class of content beside it outweighs the label.
 
 Defined results: null or empty html gives an empty text; a host with fewer than ``least`` pages of different content has
 no template and is read by its tags and labels alone; a null or unparsable url is a host of its own; rows that repeat a
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
@@ -41,8 +44,11 @@ CLOSES_P = BLOCKS - {"label", "option", "select", "button", "textarea", "iframe"
 LABELS = frozenset(
     "nav navbar navigation navigate menu submenu header masthead footer foot sidebar aside ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login register form search searchbox share sharing social comment comments commentlist disqus discussion respond reply replies related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets skip copyright disclaimer toolbar contentinfo complementary".split()
 )
-#: Whole class names that are no part of an article, inside one.
-NAMES = frozenset("ad ads advert advertisement adsense sponsored promo comment comments comment-list commentlist replies respond disqus share sharing social share-buttons social-share newsletter subscribe related related-posts related-articles recommended sidebar breadcrumb breadcrumbs pagination cookie cookies cookie-notice cookie-banner popup modal navigation menu nav toolbar".split())
+#: Words of class names that are no part of an article, inside one, if what else they say is layout.
+NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist replies respond disqus share sharing social newsletter subscribe subscription signup related recommended recommendations sidebar breadcrumb breadcrumbs pagination cookie cookies consent gdpr popup modal navigation menu nav navbar toolbar".split())
+LAYOUT = frozenset("slot area box section list bar block wrapper wrap container holder group row col column inner outer top bottom left right center post posts article articles item items page unit units banner button buttons link links icons widget form notice area overlay header footer title panel sticky fixed mobile desktop js".split())
+#: Whole class names of content.
+CONTENT = frozenset("story content article entry body text main post post-content entry-content article-body article-content story-body main-content".split())
 # every alternative takes what it has read for good, so that a tag that never ends is given up after one reading
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|svg|math)\b(?>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-z][a-z0-9]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^<>]*+\Z""",
@@ -58,9 +64,48 @@ def _label(attrs: str) -> str:
     return " ".join(v.strip("\"'") for v in _ATTR.findall(attrs)) if "=" in attrs else ""
 
 
-def parse_blocks(page: str) -> list[tuple]:
-    """(path, skipped, inside an article or main, text, all in links) for each text block, and (path, None...) for each block tag, in page order."""
-    out, stack, at = [], [], 0  # of the stack: (tag, path, skipped, inside)
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(name)}
+
+
+def _boilerplate(label: str, inside: bool) -> bool:
+    """Whether class names, id or role of a tag say that it is no part of the article."""
+    names = label.lower().split() if inside else label.split()
+    if inside:
+        return any((words := {w for w in _words(n) if not w.isdigit()}) & NAMES and words <= NAMES | LAYOUT for n in names)
+    return any(_words(n) & LABELS for n in names) and not any(n.lower() in CONTENT for n in names)
+
+
+@dataclass(slots=True)
+class Tag:
+    """An open block tag: its parent, the hash of its path, and what holds for all text within."""
+
+    name: str
+    parent: Tag | None
+    path: int
+    skipped: bool
+    inside: bool
+    aside: bool
+    items: Tag | None
+
+
+@dataclass(slots=True)
+class Block:
+    """A block tag (text None) or a text block, within ``tag``; ``linked`` if all its text is in links."""
+
+    tag: Tag
+    text: str | None
+    linked: bool
+
+
+_ASIDE = re.compile(r"comment|aside|sidebar|related", re.I)
+
+
+def parse_blocks(page: str) -> list[Block]:
+    """The block tags and text blocks of a page, in order; a tag is held once, whatever its depth."""
+    root = Tag("", None, 0, False, False, False, None)
+    out, stack, at = [], [root], 0
+    counts: Counter[str] = Counter()  # of the open tags
     text, linked, in_link = [], True, 0
 
     def flush() -> None:
@@ -68,22 +113,30 @@ def parse_blocks(page: str) -> list[tuple]:
         if text:
             whole = _SPACES.sub(" ", html_lib.unescape("".join(text))).strip()
             if whole:
-                _, path, skipped, inside = stack[-1] if stack else ("", "", False, False)
-                out.append((path, skipped, inside, whole, linked))
+                out.append(Block(stack[-1], whole, linked))
         text, linked = [], True
 
     def push(tag: str, attrs: str) -> None:
-        label = _label(attrs)
-        _, path, skipped, inside = stack[-1] if stack else ("", "", False, False)
-        words = {w.lower() for w in _WORD.findall(label)} if not inside else set(label.lower().split())
-        if tag in ("article", "main") and not words & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}:
-            if skipped and not re.search(r"comment|aside|sidebar|related", path):  # an unclosed menu or header ends here
+        label, above = _label(attrs), stack[-1]
+        skipped, inside = above.skipped, above.inside
+        if tag in ("article", "main") and not _words(label) & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}:
+            if skipped and not above.aside:  # an unclosed menu or header ends here
                 skipped = False
             inside = True
         elif tag not in ("html", "body"):
-            skipped = skipped or tag in SKIPPED or bool(words & (NAMES if inside else LABELS)) or (tag == "header" and not inside)
-        stack.append((tag, f"{path}/{tag}{'.' + label if label else ''}", skipped, inside))
-        out.append((stack[-1][1], None, False, "", False))
+            skipped = skipped or tag in SKIPPED or _boilerplate(label, inside) or (tag == "header" and not inside)
+        path = xxhash.xxh64_intdigest(f"{tag}.{label}", seed=above.path)
+        own = Tag(tag, above, path, skipped, inside, above.aside or bool(_ASIDE.search(tag + label)), above.items)
+        if tag in ("ul", "ol", "dl", "menu"):
+            own.items = own
+        stack.append(own)
+        counts[tag] += 1
+        out.append(Block(own, None, False))
+
+    def pop() -> str:
+        name = stack.pop().name
+        counts[name] -= 1
+        return name
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -100,14 +153,14 @@ def parse_blocks(page: str) -> list[tuple]:
         elif tag in BLOCKS:
             flush()
             if m[2]:
-                if any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
+                if counts[tag]:
+                    while pop() != tag:
                         pass
             else:
-                if tag in CLOSES_P and stack and stack[-1][0] == "p":
-                    stack.pop()
-                if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                    stack.pop()
+                if tag in CLOSES_P and stack[-1].name == "p":
+                    pop()
+                if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].name == tag:
+                    pop()
                 if tag not in VOID:
                     push(tag, m[4])
     if at < len(page):
@@ -117,8 +170,9 @@ def parse_blocks(page: str) -> list[tuple]:
     return out
 
 
-def _hash(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{text}") - 2**63
+def _hash(block: Block) -> int:
+    """The token of a block: its path and its text."""
+    return xxhash.xxh64_intdigest(block.text or "", seed=block.tag.path) - 2**63
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,8 +181,8 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folded: dict[tuple, list[int]] = {}
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
             counts: dict[int, int] = {}
-            for path, _, _, text, _ in parse_blocks(html or ""):
-                t = _hash(path, text)
+            for b in parse_blocks(html or ""):
+                t = _hash(b)
                 counts[t] = counts.get(t, 0) + 1
             content = xxhash.xxh64_intdigest(html or "")
             for t, n in counts.items():
@@ -153,31 +207,32 @@ def templates(pages: DataFrame, support: float = 0.8, least: int = 3) -> DataFra
     return valid.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
 
 
-def _slots(blocks: list[tuple], template: frozenset[int]) -> list[tuple[str, bool, tuple]]:
-    """(slot, constant, block) of each text block: the path of its deepest enclosing template tag, and whether it is of the template."""
-    known: dict[str, bool] = {"": True}
+def _slots(blocks: list[Block], template: frozenset[int]) -> list[tuple[int, bool, Block]]:
+    """(slot, constant, block) of each text block: the deepest enclosing template tag, and whether the block is of the template."""
+    slots: dict[int, int] = {}
     out = []
     for b in blocks:
-        if b[1] is None:
-            known[b[0]] = _hash(b[0], "") in template
-            continue
-        slot = b[0]
-        while not known.get(slot, False):
-            slot = slot.rpartition("/")[0]
-        out.append((slot, _hash(b[0], b[3]) in template, b))
+        if b.text is None:
+            slots[id(b.tag)] = id(b.tag) if _hash(b) in template else slots.get(id(b.tag.parent), 0)
+        else:
+            out.append((slots.get(id(b.tag), 0), _hash(b) in template, b))
     return out
 
 
 def extract_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The blocks in the page's open slots, one to a line."""
     placed = _slots(parse_blocks(page or ""), template)
-    inside = any(b[2] and not b[1] for _, _, b in placed)
-    left = [(slot, constant, b) for slot, constant, b in placed if not b[1] and (b[2] or not inside)]
-    if 2 * sum(len(b[3]) for _, constant, b in left if constant) >= sum(len(b[3]) for _, _, b in left):
+    inside = any(b.tag.inside and not b.tag.skipped for _, _, b in placed)
+    left = [(slot, constant, b) for slot, constant, b in placed if not b.tag.skipped and (b.tag.inside or not inside)]
+    prose = [constant for _, constant, b in left if not b.linked]
+    if prose and 3 * sum(prose) >= 2 * len(prose):
         left = [(slot, False, b) for slot, _, b in left]  # variants of one text
-    # a slot of links alone is a menu, unless it is within an article
-    menus = {slot for slot, _, b in left} - {slot for slot, constant, b in left if not constant and (b[2] or not b[4])} if not inside else set()
-    return "\n".join(b[3] for slot, constant, b in left if not constant and slot not in menus and (inside or not (b[4] and "/li" in b[0])))
+    if inside:
+        return "\n".join(b.text for _, constant, b in left if not constant)
+    # a slot or a list of links alone is a menu
+    menus = {slot for slot, _, _ in left} - {slot for slot, constant, b in left if not constant and not b.linked}
+    told = {id(b.tag.items) for _, _, b in left if not b.linked}
+    return "\n".join(b.text for slot, constant, b in left if not constant and slot not in menus and (not b.linked or b.tag.items is None or id(b.tag.items) in told))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

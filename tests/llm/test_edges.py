@@ -214,3 +214,36 @@ def test_template_of_a_host(spark):
     assert all(got[10 + k] == f"Head {k}\n{words(k)}" for k in range(4))
     assert all(got[20 + k] == "one text\ntwo text" for k in range(4))
     assert all(got[30 + k] == f"{words(1)}\n{words(2)}\nlast {k}" for k in range(4))
+
+
+def test_notice_longer_than_the_stories(spark):
+    """A host's notice goes though it is longer than each story; labels inside an article go, words of other names stay."""
+    notice = "We value what you read here and keep small files on your device for it. " * 4
+    rows = [(k, f"http://n.example/{k}", f"<body><article><p>{notice}</p><p>Story number {k} tells what happened on day {k * 7}.</p></article></body>") for k in range(6)]
+    inner = "".join(f"<div {c}>Buy now</div>" for c in ("class='ad-slot'", "id='comments-area'", "class='post-comments'", "class='cookie-consent-bar'", "class='newsletter-signup'", "class='share-buttons'"))
+    kept = "<div class='share-price'>Shares rose</div><div class='ad-hoc'>A group met</div><div class='social-history'>How they lived</div>"
+    rows += [(10, "http://a.example/", f"<article><p>Start</p>{inner}{kept}<p>End</p></article>")]
+    rows += [(11, "http://b.example/", "<div class='alert-box story'><p>All of it</p><ul><li>one</li><li><a href='/'>two</a></li></ul></div><ul><li><a>Home</a></li><li><a>News</a></li></ul><div class='alert-box'>Hurry</div>")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story number {k} tells what happened on day {k * 7}." for k in range(6))
+    assert got[10] == "Start\nShares rose\nA group met\nHow they lived\nEnd" and got[11] == "All of it\none\ntwo"
+
+
+def test_deep_pages_take_linear_memory():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 200_000 + "deep", "<div class='x/y'><p>t</p>" * 30_000, "<ul><li>" * 60_000 + "x"):
+        tracemalloc.start()
+        began = time.time()
+        assert html_extract.extract_text(page)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20 and time.time() - began < 20
+        tracemalloc.stop()
+
+
+def test_lines_of_negative_ids(spark):
+    """Near lines of documents with ids below zero; the least id keeps its line."""
+    a = "the quick brown fox jumps over the lazy dog and then it runs far away from here"
+    rows = [(-5, "first of five\n" + a), (-3, "other of three\n" + a.replace("lazy", "hazy")), (2, "unlike\n" + a)]
+    out = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {-5: rows[0][1], -3: "other of three", 2: "unlike"}
