@@ -177,7 +177,7 @@ def test_licenses_as_published(spark):
 
     rows, want = [], []
     for rule, _, ids in licenses.RULES:
-        own = [licenses.SENTENCES[i] for i in ids]
+        own = [licenses.SENTENCES[i].replace("{}", "Foo Inc. and its partners") for i in ids]
         wrapped = textwrap.wrap(" ".join(own), 40, break_on_hyphens=False)
         for text in (" ".join(own), "\n".join(own), "\n".join(wrapped), "\n".join(f" * {x}" for x in wrapped), "#!/bin/sh\n" + "".join(f"# {x}\r\n" for x in wrapped) + "#\r\nimport sys"):
             rows.append((len(rows), text))
@@ -247,3 +247,73 @@ def test_lines_of_negative_ids(spark):
     rows = [(-5, "first of five\n" + a), (-3, "other of three\n" + a.replace("lazy", "hazy")), (2, "unlike\n" + a)]
     out = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {-5: rows[0][1], -3: "other of three", 2: "unlike"}
+
+
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice{next} shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """ * Redistribution and use in source and binary forms, with or without modification,
+ * are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+{third}"""
+NEITHER = """ *
+ * 3. Neither the name of {name} nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+GPL2 = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_licenses_of_common_files(spark):
+    """Licence texts as files have them, and SPDX expressions."""
+    bsd3 = BSD.replace("{third}", NEITHER)
+    cases = [
+        (MIT.replace("{next}", ""), ["MIT"]),
+        (MIT.replace("{next}", " (including the next paragraph)"), ["MIT"]),
+        (bsd3.replace("{name}", "the copyright holder"), ["BSD-3-Clause"]),
+        (bsd3.replace("{name}", "Foo Inc."), ["BSD-3-Clause"]),
+        (bsd3.replace("{name}", "the University of Somewhere, its Regents,"), ["BSD-3-Clause"]),
+        (BSD.replace("{third}", ""), ["BSD-2-Clause"]),
+        (GPL2, ["GPL-2.0-or-later"]),
+        (ISC, ["ISC"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint main;", ["Apache-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) OR BSD-3-Clause */", ["BSD-3-Clause", "GPL-2.0-only"]),
+        ("SPDX-License-Identifier: (MIT AND (BSD-2-Clause OR 0BSD))", ["0BSD", "BSD-2-Clause", "MIT"]),
+        ("SPDX-License-Identifier: MITNFA", []),
+        ("to the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work.", ["CC0-1.0"]),
+        ("Neither the name of the game nor the names of the players were known.", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.detect_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
