@@ -205,3 +205,37 @@ def audible(y: np.ndarray, top_db: float) -> slice:
     level = squares[np.minimum(at + N_FFT // 2, len(y))] - squares[np.maximum(at - N_FFT // 2, 0)]
     loud = np.flatnonzero(level > level.max() * 10 ** (-top_db / 10)) if len(y) and level.max() > 0 else []
     return slice(int(loud[0]) * HOP, min(len(y), int(loud[-1] + 1) * HOP)) if len(loud) else slice(0, 0)
+
+
+@functools.cache
+def _low_pass(up: int, down: int, reach: int = 32) -> np.ndarray:
+    """Taps of a Kaiser-windowed sinc for a change of rate by ``up`` / ``down``, ``up`` phases in rows."""
+    widest = max(up, down)
+    n = 2 * reach * widest + 1
+    t = np.arange(n) - reach * widest
+    taps = np.sinc(t * 0.96 / widest) * 0.96 / widest * np.kaiser(n, 9.0) * up
+    return np.pad(taps, (0, -n % up)).reshape(-1, up).T
+
+
+def resampled(y: np.ndarray, sr: int, to: int, block: int = 1 << 15) -> np.ndarray:
+    """``y`` at another rate: each phase of the filter over blocks of samples, silence beyond the ends."""
+    if sr == to or not len(y):
+        return y
+    common = int(np.gcd(sr, to))
+    up, down = to // common, sr // common
+    taps = _low_pass(up, down)
+    half = 32 * max(up, down)
+    n = -(-len(y) * up // down)
+    width = taps.shape[1]
+    padded = np.pad(np.asarray(y, np.float32), width)
+    views = np.lib.stride_tricks.sliding_window_view(padded, width)
+    out = np.empty(n, np.float32)
+    for first in range(min(up, n)):
+        at = np.arange(first, n, up, dtype=np.int64) * down + half  # places on the finer grid, the filter's delay added
+        phase, last = int(at[0] % up), at // up
+        h = taps[phase][::-1].astype(np.float32)
+        own = np.empty(len(at), np.float32)
+        for a in range(0, len(at), block):  # the window that ends at sample ``last``
+            own[a : a + block] = views[np.minimum(last[a : a + block] + 1, len(views) - 1)] @ h
+        out[first::up] = own
+    return out

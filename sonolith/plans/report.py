@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, timbre
+from ..operators import corpus, structure, timbre
 from ..operators.clustering import pca
 from ..operators.features import FEATURES, LOG_FEATURES, guarded_frames, track_features, windowed
 from ..sources.audio import scan_collection
@@ -17,16 +17,26 @@ from ..sources.audio import scan_collection
 PALETTE = ["#4269d0", "#efb118", "#ff725c", "#6cc5b0", "#3ca951", "#ff8ab7", "#a463f2", "#97bbf5"]
 
 
-def probe(spark: SparkSession, root: str) -> DataFrame:
-    """Tracks and bytes of each album; nothing is decoded."""
-    return scan_collection(spark, root).groupBy("album").agg(F.count("*").alias("n_tracks"), F.sum("length").alias("bytes"), F.array_sort(F.collect_list("track")).alias("tracks"))
+def tracks_of(spark: SparkSession, root: str) -> DataFrame:
+    """The tracks of ``root``; a folder without any is an error."""
+    tracks = scan_collection(spark, root)
+    if tracks.isEmpty():
+        raise FileNotFoundError(f"no audio files under {root}")
+    return tracks
+
+
+def probe(spark: SparkSession, root: str, shown: int = 8) -> DataFrame:
+    """Tracks and bytes of each album, and its first ``shown`` tracks by name; nothing is decoded."""
+    tracks = tracks_of(spark, root)
+    first = structure.first_of_each(tracks.select("album", "track"), "album", "track", shown).groupBy("album").agg(F.array_sort(F.collect_list("track")).alias("tracks"))
+    return tracks.groupBy("album").agg(F.count("*").alias("n_tracks"), F.sum("length").alias("bytes")).join(first, "album")
 
 
 def extract(spark: SparkSession, root: str, out: str | None = None, duration: float | None = None, force: bool = False, retry_cap_s: float | None = 600.0, memory_mb: int | None = 4096) -> DataFrame:
     """The features of every track of ``root``, and error where a track has none; kept as Parquet in ``out`` if given, and read from there if it was written before, unless ``force``."""
     if out and not force and written(spark, out):
         return spark.read.parquet(out)
-    tracks = scan_collection(spark, root)
+    tracks = tracks_of(spark, root)
     own = guarded_frames(tracks, duration, retry_cap_s, memory_mb).persist(StorageLevel.DISK_ONLY)
     heard = own.filter("error is null")
     f = track_features(heard).join(windowed(heard), ["album", "track"], "left").join(timbre.profile_maps(timbre.sound_objects(heard)), ["album", "track"], "left")
@@ -44,13 +54,15 @@ def written(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def landscape_svg(coords: DataFrame, album: str, size: int = 480) -> str:
-    """A scatter of pc1 and pc2 coloured by album, for a catalogue's worth of points."""
-    rows = coords.orderBy(album).collect()
-    names = list(dict.fromkeys(r[album] for r in rows))
-    span = lambda k: (min(r[k] for r in rows), max(max(r[k] for r in rows) - min(r[k] for r in rows), 1e-9))
-    (x0, dx), (y0, dy) = span("pc1"), span("pc2")
-    dots = "".join(f'<circle cx="{20 + (r["pc1"] - x0) / dx * (size - 40):.1f}" cy="{size - 20 - (r["pc2"] - y0) / dy * (size - 40):.1f}" r="5" fill="{PALETTE[names.index(r[album]) % len(PALETTE)]}"/>' for r in rows)
+def landscape_svg(coords: DataFrame, album: str, size: int = 480, cells: int = 120) -> str:
+    """A scatter of pc1 and pc2 coloured by album: one dot for each colour and cell of a grid, larger where it holds more tracks."""
+    e = coords.agg(*[f(c).alias(f"{n}_{c}") for c in ("pc1", "pc2") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    place = lambda c: F.floor((F.col(c) - e[f"lo_{c}"]) / max(e[f"hi_{c}"] - e[f"lo_{c}"], 1e-9) * (cells - 1) + 0.5)
+    names = corpus.numbered_names(coords, album, "_place")
+    tone = (F.col("_place") - 1) % len(PALETTE)
+    rows = coords.join(names, album).groupBy(tone.alias("tone"), place("pc1").alias("x"), place("pc2").alias("y")).agg(F.count("*").alias("n")).orderBy("tone", "x", "y").collect() if e["lo_pc1"] is not None else []
+    at = lambda v: 20 + v / (cells - 1) * (size - 40)
+    dots = "".join(f'<circle cx="{at(r["x"]):.1f}" cy="{size - at(r["y"]):.1f}" r="{min(12.0, 4 + r["n"] ** 0.5):.1f}" fill="{PALETTE[r["tone"]]}"/>' for r in rows)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{dots}</svg>'
 
 

@@ -124,3 +124,33 @@ def test_trim(spark, tmp_path):
     f = frames(decode(scan_collection(spark, str(tmp_path)), trim_db=40.0)).agg(F.max("heard_s").alias("heard"), F.max("duration_s").alias("all")).first()
     assert abs(f["all"] - 9) < 0.01 and 5.3 < f.heard < 6.3
     assert dsp.audible(np.zeros(100), 40.0) == slice(0, 0) and dsp.audible(np.zeros(0), 40.0) == slice(0, 0)
+
+
+@pytest.mark.parametrize("sr", [8000, 11025, 44100, 48000, 22050])
+def test_resampling(spark, tmp_path, sr):
+    """A tone below both limits keeps its shape at any rate, one above the lower limit goes."""
+    t, to = np.arange(int(1.7 * sr)) / sr, 22050
+    out = dsp.resampled(np.sin(2 * np.pi * 997 * t), sr, to)
+    at = np.arange(len(out)) / to
+    assert abs(len(out) - 1.7 * to) <= 1 and np.abs(out - np.sin(2 * np.pi * 997 * at))[1000:-1000].max() < 2e-3
+    if sr > to:
+        assert np.abs(dsp.resampled(np.sin(2 * np.pi * 15_000 * t), sr, to))[1000:-1000].max() < 2e-3
+    (tmp_path / "a.wav").write_bytes(write_wav(0.5 * np.sin(2 * np.pi * 997 * t), sr))
+    r = frames(decode(scan_collection(spark, str(tmp_path)))).agg(F.max("frame").alias("f"), F.max("duration_s").alias("d")).first()
+    assert r.f == int(1.7 * to) // 512 and abs(r.d - 1.7) < 1e-3
+
+
+def test_probe_and_landscape(spark, tmp_path, tracks):
+    from sonolith.plans import report as plan
+
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "notes.txt").write_text("no sound")
+    with pytest.raises(FileNotFoundError):
+        plan.probe(spark, str(tmp_path / "empty"))
+    root = tracks.first().path.removeprefix("file:").rsplit("/", 2)[0]
+    (row,) = plan.probe(spark, root, shown=3).collect()
+    assert (row.album, row.n_tracks, row.tracks) == ("a", 4, ["120", "90", "drone"])
+    points = spark.createDataFrame([(f"album {i % 11}", float(i % 7), float(i % 3)) for i in range(500)], "album string, pc1 double, pc2 double")
+    svg = plan.landscape_svg(points, "album")
+    assert svg.count("<circle") == 8 * 21 and all(c in svg for c in plan.PALETTE)
+    assert plan.landscape_svg(points.filter("false"), "album").count("<circle") == 0
