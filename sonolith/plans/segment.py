@@ -107,7 +107,7 @@ def cut_pieces(pieces: DataFrame, root: str) -> DataFrame:
 def segment(spark: SparkSession, root: str, out: str, hop_s: float = 1.0, min_song_s: float = 60.0, min_gap_s: float = 12.0, chunk_s: float = 60.0) -> tuple[DataFrame, DataFrame]:
     """(songs, regions) of the sessions below ``root``, also written as JSON lines to ``out``/songs and ``out``/regions; audio is decoded once, for ``out``/seconds."""
     recordings = with_start_times(scan_recordings(spark, root))
-    seconds(frames(decode(recordings, chunk_s=chunk_s)), hop_s).write.mode("overwrite").parquet(f"{out}/seconds")
+    seconds(frames(decode(recordings, chunk_s=chunk_s, up=False)), hop_s).write.mode("overwrite").parquet(f"{out}/seconds")
     rows = spark.read.parquet(f"{out}/seconds")
     labels, files = labelled(rows), session_files(recordings, rows)
     songs = find_songs(labels, files, hop_s, min_song_s, min_gap_s)

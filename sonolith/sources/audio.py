@@ -74,12 +74,13 @@ def write_wav(samples: np.ndarray, sr: int) -> bytes:
     return out.getvalue()
 
 
-def chunks_of(path: str, album: str, track: str, content: bytes, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, capped: bool = False, rate: int | None = RATE) -> Iterator[pd.DataFrame]:
-    """The chunks of one file at ``rate`` (its own if None): whole frames each, with the frames and the extent of the track that theirs depend on."""
+def chunks_of(path: str, album: str, track: str, content: bytes, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, capped: bool = False, rate: int | None = RATE, up: bool = True) -> Iterator[pd.DataFrame]:
+    """The chunks of one file at ``rate`` (its own if None, or if it is lower and not ``up``): whole frames each, with the frames and the extent of the track that theirs depend on."""
     y, sr = samples_of(content)
     y = y[int(offset * sr) :]
     y = y if duration is None else y[: int(duration * sr)]
-    y, sr = (y, sr) if rate is None else (dsp.resampled(y, sr, rate), rate)
+    if rate is not None and (up or sr > rate):
+        y, sr = dsp.resampled(y, sr, rate), rate
     heard = y if trim_db is None else y[dsp.audible(y, trim_db)]
     whole, n, step = dsp.extent(heard, sr), dsp.n_frames(len(heard)), max(1, int(chunk_s * sr) // dsp.HOP)
     for i, a in enumerate(range(0, n, step)):
@@ -102,14 +103,14 @@ def with_contents(files: DataFrame) -> DataFrame:
     return files.select("path", "album", "track").join(loaded.select(F.col("path"), F.col("content")), "path")
 
 
-def decode(files: DataFrame, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, rate: int | None = RATE) -> DataFrame:
-    """The mono samples of ``files`` (path, album, track), at ``rate`` (their own if None), a row a chunk, silence at both ends trimmed below ``trim_db`` if given. A file that can't be read is a row with an error."""
+def decode(files: DataFrame, chunk_s: float = 60.0, offset: float = 0.0, duration: float | None = None, trim_db: float | None = None, rate: int | None = RATE, up: bool = True) -> DataFrame:
+    """The mono samples of ``files`` (path, album, track), at ``rate`` (their own if None, or if it is lower and not ``up``), a row a chunk, silence at both ends trimmed below ``trim_db`` if given. A file that can't be read is a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, album, track, content in zip(pdf["path"], pdf["album"], pdf["track"], pdf["content"], strict=True):
                 try:
-                    yield from chunks_of(path, album, track, content, chunk_s, offset, duration, trim_db, rate=rate)
+                    yield from chunks_of(path, album, track, content, chunk_s, offset, duration, trim_db, rate=rate, up=up)
                 except Exception as e:  # noqa: BLE001 - any file may be broken in any way
                     yield pd.DataFrame([(path, album, track, 0, 0.0, 0, None, None, 0, 0, None, None, None, f"{type(e).__name__}: {e}")], columns=_COLUMNS)
 

@@ -113,3 +113,18 @@ def test_affinity_by_blocks(spark):
             want = np.mean(pairs) if a != b else (s[np.ix_(n, n)].sum() - (u[n] ** 2).sum()) / (len(n) * (len(n) - 1))
             assert np.isclose(got[a, b], want)
     assert got["single", "single"] == 1.0 and F
+
+
+def test_components_against_numpy(spark):
+    from sonolith.operators.clustering import pca
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 2)) @ rng.standard_normal((2, 4)) + 0.2 * rng.standard_normal((80, 4))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double, d double")
+    coords, explained, loadings = pca(df, list("abcd"), keep=["id"])
+    z = (x - x.mean(0)) / x.std(0)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    v = vt[:2] * np.sign(vt[[0, 1], np.abs(vt[:2]).argmax(axis=1)])[:, None]
+    assert np.allclose(loadings, v, atol=1e-6) and np.allclose(explained, (s**2 / (s**2).sum())[:2])
+    got = coords.orderBy("id").toPandas()[["pc1", "pc2"]].to_numpy()
+    assert np.allclose(got, z @ v.T, atol=6e-4)
