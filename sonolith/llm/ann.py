@@ -7,10 +7,12 @@ it no more than a bound: the sum over the copies of the squared distance between
 that axis. The bound is fitted on ``fit`` queries, whose exact neighbours among all vectors are found in one pass, so that
 ``recall`` of them are probed. Candidates are reranked by their exact cosine, and per query the best ``k`` stay.
 
-Vectors are dealt by table and first axis, in blocks of at most about ``block`` vectors and ``block`` queries, so a
-bucket that holds a third of all rows is many blocks; within its task a block is split by the other axes, and only
-buckets that a query probes are scored for it. A query that finds fewer than k probes every bucket of one table, which is
-exact for it.
+The axes of a vector's copies make its code, one number, and a table's codes are packed in order into as many cells as give
+each about ``block`` vectors; so a vector travels once a table (and once for each ``calls`` queries of its cell), and a query
+travels to the cells that hold a code within its bound. A cell that holds more than ``block`` vectors or ``calls``
+queries is dealt in parts, so one that has a third of all rows is many tasks. Within a task only the buckets that a query
+probes are scored for it, and its k best leave. A query that finds fewer than k probes within four times the bound, and one
+that is short even so every bucket of one table, which is exact for it.
 
 Defined results: vectors that are null, of norm zero, of another length than most, or that hold null or non-finite
 components take no part; equal scores go to the smaller vec_id; a query has all candidates if they are fewer than k;
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -77,20 +79,27 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, vector's place, score) of the k best of each query, ties by id; ``ids`` ascend."""
+def _firsts(r: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best of each query r, best first, an id once, ties by id."""
+    o = np.lexsort((-score, ids, r))
+    o = o[np.r_[True, (r[o][1:] != r[o][:-1]) | (ids[o][1:] != ids[o][:-1])]] if len(o) else o
+    o = o[np.lexsort((ids[o], -score[o], r[o]))]
+    return o[np.arange(len(o)) - np.searchsorted(r[o], r[o]) < k]
+
+
+def _best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, score) of the k best of each query that reach its ``floor``, ties by id; ``ids`` ascend."""
     score = q @ x.T
     score[qids[:, None] == ids[None, :]] = -np.inf
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    single = score if len(first) == len(ids) else np.maximum.reduceat(score, first, axis=1)
     # a rounding apart from the k-th best may be a tie, so those stay too until the exact score is known
-    at = score.shape[1] - k
-    kth = np.partition(score, at, axis=1)[:, at] if at > 0 else np.full(len(score), -np.inf)
+    at = single.shape[1] - k
+    kth = np.maximum(np.partition(single, at, axis=1)[:, at] if at > 0 else np.full(len(score), -np.inf), floor)
     r, c = np.nonzero((score >= kth[:, None] - 1e-12) & (score > -np.inf))
     exact = (q[r] * x[c]).sum(axis=1)
-    o = np.lexsort((ids[c], -exact, r))
-    r, c, exact = r[o], c[o], exact[o]
-    first = np.searchsorted(r, r)
-    keep = np.arange(len(r)) - first < k
-    return r[keep], c[keep], exact[keep]
+    o = _firsts(r, ids[c], exact, k)
+    return r[o], c[o], exact[o]
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -128,66 +137,95 @@ def _fitted(base: DataFrame, asked: DataFrame, signs: np.ndarray, k: int, fit: i
     return float(np.quantile(best, recall, method="higher")) + 1e-9
 
 
-def _search(base: DataFrame, asked: DataFrame, signs: np.ndarray, bound: float, k: int, block: int, seed: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query in each block of the buckets it probes."""
-    axes = 2 * signs.shape[3]
+def _codes(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The code of each vector: the axes of its copies as digits."""
+    code = np.zeros(len(x), np.int64)
+    for s in table:
+        code = code * (2 * table.shape[2]) + turned(x, s).argmax(axis=1)
+    return code
+
+
+def _within(x: np.ndarray, table: np.ndarray, cells: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query's place, cell) of the cells, ranges of codes, whose cheapest code costs the query at most ``bound``; ``cells`` is a power of two."""
+    at, cell, spent = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    for s in table:
+        digits = min(cells, 2 * table.shape[2])
+        if digits == 1:
+            break
+        cost = costs(x, s).reshape(len(x), digits, -1).min(axis=2)
+        total = spent[:, None] + cost[at]
+        r, c = np.nonzero(total <= bound)
+        at, cell, spent, cells = at[r], cell[r] * digits + c, total[r, c], cells // digits
+    return at, cell
+
+
+def _search(base: DataFrame, asked: DataFrame, signs: np.ndarray, bound: float, k: int, cells: int, block: int, calls: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each part of the cells it probes."""
+    axes, copies = 2 * signs.shape[3], signs.shape[1]
+    wide = axes**copies // cells
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = _unit(pdf["v"])
                 for t, table in enumerate(signs):
-                    yield pd.DataFrame({"bucket": t * axes + turned(x, table[0]).argmax(axis=1), "id": pdf["id"], "v": pdf["v"]})
+                    yield pd.DataFrame({"bucket": t * cells + _codes(x, table) // wide, "id": pdf["id"], "v": pdf["v"]})
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x, ids, own = _unit(pdf["v"]), pdf["id"].to_numpy(), pdf["v"].to_numpy()
+            for f in range(0, len(pdf), 256):
+                x, ids, own = _unit(pdf["v"][f : f + 256]), pdf["id"].to_numpy()[f : f + 256], pdf["v"].to_numpy()[f : f + 256]
                 for t, table in enumerate(signs):
-                    cost = costs(x, table[0])
-                    r, c = np.nonzero(cost <= bound)
-                    yield pd.DataFrame({"bucket": t * axes + c, "id": ids[r], "v": own[r], "left": bound - cost[r, c]})
+                    r, c = _within(x, table, cells, bound)
+                    yield pd.DataFrame({"bucket": t * cells + c, "id": ids[r], "v": own[r]})
 
     kind = base.schema["v"].dataType.simpleString()
-    mine, theirs = base.mapInPandas(dealt, f"bucket long, id long, v {kind}"), asked.mapInPandas(probing, f"bucket long, id long, v {kind}, left double")
+    mine, theirs = (rows.mapInPandas(f, f"bucket long, id long, v {kind}") for rows, f in ((base, dealt), (asked, probing)))
 
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return cut(rows.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / F.lit(float(block))).cast("int").alias(name)))
+    def parts(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return cut(rows.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / F.lit(float(most))).cast("int").alias(name)))
 
-    sizes = F.broadcast(parts(mine.select("bucket"), "blocks").join(parts(theirs.select("bucket"), "calls"), "bucket"))  # a row for each axis of each table
+    # a row for each cell that is probed: small beside the vectors, and broadcast only where it is counted to be
+    sizes = broadcast_if_small(cut(parts(mine.select("bucket"), block, "blocks").join(parts(theirs.select("bucket"), calls, "calls"), "bucket")))
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = mine.join(sizes, "bucket").select("bucket", part("blocks").alias("i"), spread("calls").alias("j"), "id", "v")
-    theirs = theirs.join(sizes, "bucket").select("bucket", spread("blocks").alias("i"), part("calls").alias("j"), "id", "v", "left")
+    theirs = theirs.join(sizes, "bucket").select("bucket", spread("blocks").alias("i"), part("calls").alias("j"), "id", "v")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        r, ids_, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(left) and len(right):
-            table = signs[int(left["bucket"].iloc[0]) // axes]
+            table = signs[int(left["bucket"].iloc[0]) // cells]
             x, q, qids = _unit(left["v"]), _unit(right["v"]), right["id"].to_numpy()
-            code = np.zeros(len(x), np.int64)
-            for s in table[1:]:
-                code = code * axes + turned(x, s).argmax(axis=1)
+            code = _codes(x, table)
             order = np.lexsort((left["id"].to_numpy(), code))
             ids, x, code = left["id"].to_numpy()[order], x[order], code[order]
-            cost = [costs(q, s) for s in table[1:]]
+            cost, floor, new, held = [costs(q, s) for s in table], np.full(len(q), -np.inf), [], 0
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             for f, e in zip(first, np.r_[first[1:], len(code)], strict=True):
                 total, c = np.zeros(len(q)), int(code[f])
                 for own in reversed(cost):
                     total += own[:, c % axes]
                     c //= axes
-                at = np.flatnonzero(total <= right["left"].to_numpy())
+                at = np.flatnonzero(total <= bound)
                 for i in range(0, len(at), 512):
                     own = at[i : i + 512]
-                    r, c_, score = _best(ids[f:e], x[f:e], qids[own], q[own], k)
-                    out.append(pd.DataFrame({"query_id": qids[own[r]], "vec_id": ids[f + c_], "score": score}))
-        return pd.concat(out, ignore_index=True)
+                    near, c_, s_ = _best(ids[f:e], x[f:e], qids[own], q[own], k, floor[own])
+                    new.append((own[near], ids[f + c_], s_))
+                    held += len(near)
+                if held > 4 * k * len(q) + 10_000 or e == len(code):  # the k best so far stay, and what they reach is asked of later buckets
+                    r, ids_, score = (np.concatenate(z) for z in zip((r, ids_, score), *new, strict=True))
+                    o = _firsts(r, ids_, score, k)
+                    r, ids_, score, new, held = r[o], ids_[o], score[o], [], 0
+                    last = np.flatnonzero(np.bincount(r, minlength=len(q)) == k)
+                    floor[last] = score[np.searchsorted(r, last, side="right") - 1]
+            r = qids[r]
+        return pd.DataFrame({"query_id": r, "vec_id": ids_, "score": score})
 
     return mine.groupBy("bucket", "i", "j").cogroup(theirs.groupBy("bucket", "i", "j")).applyInPandas(best, _FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, rounds: int = 3, fill: int = 8, fit: int = 64, recall: float = 0.95, block: int = 4096, seed: int = 20_001, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, rounds: int = 3, fill: int = 8, fit: int = 64, recall: float = 0.95, block: int = 8192, calls: int = 16_384, seed: int = 20_001, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): per row of ``queries`` (columns as ``vectors``) its ``k`` nearest found."""
     base, asked = _usable(vectors, vec_id, embedding), _usable(queries, vec_id, embedding)
     sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -196,9 +234,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12
     width = 1 << max(1, (d - 1).bit_length())
     copies = max(1, math.ceil(math.log(max(n / fill, 1.0)) / math.log(2 * width)))
     signs = rotations(d, tables, copies, rounds, seed)
-    found = cut(_search(base, asked, signs, _fitted(base, asked, signs, k, fit, recall), k, block, seed).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
-    short = cut(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
-    if short.limit(1).count():
-        found = found.unionByName(_search(base, short, signs[:1], math.inf, k, block, seed)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    cells = min((2 * width) ** copies, 1 << max(0, math.ceil(math.log2(max(n / block, 1.0)))))
+    bound = _fitted(base, asked, signs, k, fit, recall)
+
+    def best(asked: DataFrame, signs: np.ndarray, bound: float) -> DataFrame:
+        return _search(base, asked, signs, bound, k, cells, block, calls, seed).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = cut(best(asked, signs, bound))
+    for tables_, wider in ((signs, 4 * bound), (signs[:1], math.inf)):
+        full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+        short = cut(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+        if not short.limit(1).count():
+            break
+        found = cut(found.unionByName(best(short, tables_, wider)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

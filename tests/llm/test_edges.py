@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,35 @@ def test_nearest(spark):
     assert ann.nearest(v.filter("false"), v.filter("false")).count() == 0
 
 
+def test_nearest_parts(spark):
+    """Cells of few vectors over two copies, hot cells in parts, repeated ids and copies: each query's neighbours are exact where every code is within its bound."""
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(size=(400, 8)), np.tile(rng.normal(size=(1, 8)), (200, 1))]
+    ids = np.r_[np.arange(590), [7] * 10]
+    v = spark.createDataFrame([(int(i), [float(c) for c in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = ann.nearest(v, v.filter("vec_id % 50 = 0"), k=5, tables=4, fill=1, recall=1.0, fit=1000, block=16, calls=3).toPandas()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 590, 50):
+        s = np.full(590, -2.0)
+        np.maximum.at(s, ids, np.round(u @ u[i], 12))
+        s[i] = -2
+        own = out[out.query_id == i].sort_values("rank")
+        assert own.vec_id.tolist() == np.lexsort((np.arange(590), -s))[:5].tolist() and np.allclose(own.score, s[own.vec_id])
+
+
+def test_cells_within_bound():
+    """A cell is probed if and only if one of its codes costs no more than the bound."""
+    table = ann.rotations(4, 1, 2, 3, 5)[0]
+    x = np.random.default_rng(1).normal(size=(20, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    one, two = (ann.costs(x, s) for s in table)
+    total = (one[:, :, None] + two[:, None, :]).reshape(20, 64)
+    for cells in (1, 4, 8, 16, 64):
+        r, c = ann._within(x, table, cells, 0.4)
+        assert set(zip(r.tolist(), c.tolist(), strict=True)) == {(i, j) for i in range(20) for j in range(cells) if total[i].reshape(cells, -1)[j].min() <= 0.4}
+
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>x</p>"), (5, "h", "é" * 70_000), (1, "http://a/", "<p>x</p>")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
