@@ -172,7 +172,37 @@ def test_fuzzy_matches_distance():
     lexicon = Lexicon({"worthless": 2.0, "idiot": 1.0, "clown": 1.5, "bad": 1.0}, {})
     for word in ("worthles", "wortless", "worthlesss", "w0rthless", "idiott", "idot", "klown", "clwn", "clown", "worthy", "idio", "dio", "bae", "clowning"):
         near = [w for w in ("worthless", "idiot", "clown") if edit_distance(word.encode(), w.encode()) <= 1]
-        assert bool(lexicon.fuzzy(word)) == bool(near), word
+        assert lexicon.near(word) == set(near), word
+
+
+def test_toxicity_misspelled_and_quoted(spark):
+    """On held-out texts a misspelled term weighs as its term, quotation marks lower a score, and the automaton finds what exact terms miss."""
+    import random
+
+    from sonolith.llm import toxicity as t
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    model = t.train(docs, labels)
+    lexicon, dice = model.lexicon, random.Random(5)
+    exact = t.Model(t.Lexicon(lexicon.terms, lexicon.stems, strict=frozenset(lexicon.terms)), model.weights, model.bias)
+    assert (model.weights[: t.SIGNED] >= 0).all()
+
+    def worse(m):
+        w, i = m[0], dice.randrange(1, max(2, len(m[0])))
+        return w[:i] + dice.choice("qxz") + w[i:] if w.lower() in lexicon.terms and w.lower() not in lexicon.strict and len(w) >= t.MIN_FUZZY else w
+
+    held = docs.join(labels, "doc_id").filter(t.held_out("doc_id")).select("text", "toxic").distinct().toPandas().fillna({"text": ""})
+    bad = held[held.toxic == 1].text
+    bent = bad.map(lambda x: re.sub(r"\w+", worse, x))
+    caught = lambda m, texts: (texts.map(m.score) >= 0.5).mean()
+    assert caught(model, bent) >= caught(model, bad) - 0.02 and caught(exact, bent) < caught(model, bent) - 0.2
+    for w in ("idiot", "moron", "worthless"):
+        assert model.score(f"the {w} is here") == pytest.approx(model.score(f"the {w[:3]}q{w[3:]} is here"))
+        assert model.score(f"the {w} is here") > model.score("the lake is here")
+        assert model.score(f'the "{w}" is here') < model.score(f"the {w} is here") < model.score(f"you {w} is here")
+    known = sorted(lexicon.known)[:50]
+    assert known and all(lexicon.meant(w) is None for w in known)
 
 
 def test_main_text_of_pages(spark):
