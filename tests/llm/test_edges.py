@@ -110,6 +110,17 @@ def test_licenses(spark, docs, none):
     assert r.licenses == ["Apache-2.0", "MIT"] and [m["rule"] for m in r.matches] == ["apache-header", "mit-released"]
 
 
+def test_pipeline_toxicity_keeps_columns(spark):
+    """Columns of the names the stage uses itself come through with their own values, nulls and empty texts too."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit("mine")).withColumn("_toxicity", F.lit(7)).withColumn("r", F.lit(1))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("text")))
+    out = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+    assert out.exceptAll(docs).count() == 0 and out.filter("text is null").count() == docs.filter("text is null").count()
+
+
 def test_nearest(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (50, [1.0, 1e-3]), (7, [1e200, 1e200])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("bucket", F.lit(1))
