@@ -19,16 +19,24 @@ def windowed_vote(df: DataFrame, recording: str, time: Column, label: str, size:
     return c.select(recording, F.col(label).alias("modal"), F.when(F.col("t") > 1, F.round(F.col("n") / F.col("t"), 3)).alias("agreement"), F.col("t").alias("n_windows"))
 
 
+#: Sums run in any order, so values this close, relatively, are ties.
+_TIE = 1e-11
+
+
 def folded_tempo(df: DataFrame, recording: str, tempo: str, tolerance: float = 0.02) -> DataFrame:
-    """Per recording the median window tempo, octaves folded towards the median first, and the share of windows near it."""
-    med = df.groupBy(recording).agg(F.median(tempo).alias("_m"))
-    t = F.col(tempo)
-    folded = F.when(t < F.col("_m") / 1.5, t * 2).when(t > F.col("_m") * 1.5, t / 2).otherwise(t)
-    f = df.join(med, recording).select(recording, folded.alias("_t"))
-    mid = f.groupBy(recording).agg(F.median("_t").alias("tempo"))
-    near = (F.abs(F.col("_t") - F.col("tempo")) / F.greatest("tempo", F.lit(1e-9)) < tolerance).cast("double")
-    g = f.join(mid, recording).groupBy(recording, "tempo").agg(F.avg(near).alias("a"), F.count("*").alias("n_windows"))
-    return g.select(recording, "tempo", F.when(F.col("n_windows") > 1, F.round("a", 3)).alias("agreement"), "n_windows")
+    """Per recording the median window tempo, octaves folded towards the median first, and the share of windows near it.
+
+    A tempo just at a bound is neither folded nor near, whatever the order in which it was summed; windows without a tempo count as not near.
+    """
+    own = Window.partitionBy(recording)
+    t, m = F.col(tempo), F.col("_m")
+    folded = F.when(t < m / 1.5 * (1 - _TIE), t * 2).when(t > m * 1.5 * (1 + _TIE), t / 2).otherwise(t)
+    f = df.select(recording, tempo, F.median(tempo).over(own).alias("_m")).select(recording, folded.alias("_t"))
+    near = F.abs(F.col("_t") - F.col("_mid")) / F.greatest("_mid", F.lit(1e-9)) < tolerance * (1 - _TIE)
+    g = f.withColumn("_mid", F.median("_t").over(own)).withColumn("_near", F.coalesce(near, F.lit(False)).cast("double"))
+    g = g.groupBy(recording).agg(F.max("_mid").alias("tempo"), F.avg("_near").alias("a"), F.count("*").alias("n_windows"))
+    # shares are rounded as they stand times 1000
+    return g.select(recording, "tempo", F.when(F.col("n_windows") > 1, F.round(F.col("a") * 1000) / 1000).alias("agreement"), "n_windows")
 
 
 def pulse(df: DataFrame, recording: str, time: Column, weight: Column, periods: list[float]) -> DataFrame:

@@ -166,7 +166,8 @@ def tempo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.stability import folded_tempo
 
     t = _t(spark, sf_dir, "events").groupBy("user_id", F.floor(_seconds() / 86400).alias("win")).agg(F.avg("value").alias("tempo"))
-    return _rounded(folded_tempo(t, "user_id", "tempo"))
+    # a median halfway between two roundings goes up, whatever the order of its sums
+    return _rounded(folded_tempo(t, "user_id", "tempo").withColumn("tempo", F.round("tempo", 10)))
 
 
 @query(f"WITH p AS (SELECT event_type, period, sum(abs(value) * cos(2 * pi() * epoch(ts) / period)) AS c, sum(abs(value) * sin(2 * pi() * epoch(ts) / period)) AS s, sum(abs(value)) AS w FROM events, (VALUES (43200.0::DOUBLE), (86400.0::DOUBLE), (172800.0::DOUBLE)) v(period) GROUP BY ALL) SELECT event_type, period, {_R('sqrt(c * c + s * s) / w')} AS R FROM p QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(sqrt(c * c + s * s) / w, 9) DESC, period) = 1")
