@@ -3,9 +3,11 @@
 import random
 from itertools import combinations, permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sonolith.llm.line_dedup import drop_duplicate_lines, within
+from sonolith.operators import blocks, corpus
 from sonolith.operators.stability import folded_tempo
 
 
@@ -46,3 +48,34 @@ def test_lines_that_meet_lose_no_link(spark):
     got = {r.doc_id: r.text for r in drop_duplicate_lines(docs).collect()}
     assert 2 < len(set(lead)) < len(lines)
     assert got == want
+
+
+def test_rows_are_sent_to_a_bounded_number_of_parts():
+    assert [blocks._parts(n, 2048, 10) for n in (0, 1, 10_000, 100_000, 600_000, 3_000_000)] == [1, 1, 5, 48, 48, 48]
+    assert blocks._parts(600_000, 2048, 600_000) * 32 * blocks.HELD >= 600_000 * 600_000  # sums that a task holds
+
+
+def test_silhouettes_of_labels_that_turn_up_late(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 3))
+    labels = [f"l{i // 30}" for i in range(900)]
+    df = spark.createDataFrame([(i, [float(y) for y in v], [k, "x"]) for i, (v, k) in enumerate(zip(x, labels, strict=True))], "id long, v array<double>, l array<string>")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    means = np.stack([d[:, 30 * k : 30 * k + 30].sum(axis=1) for k in range(30)], axis=1)
+    own = np.arange(900) // 30
+    a = means[np.arange(900), own] / 29
+    means[np.arange(900), own] = np.inf
+    b = (means / 30).min(axis=1)
+    got = blocks.silhouettes(df, "id", "v", "l", 100).collect()
+    assert [(r.which, r.n) for r in got] == [(0, 900)] and np.isclose(got[0].silhouette, ((b - a) / np.maximum(a, b)).mean())
+
+
+def test_cosines_are_products_of_blocks(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    every = corpus.pair_cosine(df, "id", "v")
+    assert "NestedLoop" not in every._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {(r.i, r.j): r.sim for r in every.collect()}
+    assert got == {(1, 2): 0.6, (1, 3): None, (1, 4): 0.0, (1, 5): None, (2, 3): None, (2, 4): 0.0, (2, 5): None, (3, 4): None, (3, 5): None, (4, 5): None}
+    some = {(r.i, r.j): r.sim for r in corpus.pair_cosine(df, "id", "v", df.filter("id in (1, 3)")).collect()}
+    assert some == {(i, j): got[min(i, j), max(i, j)] for i in (1, 3) for j in range(1, 6) if i != j}
