@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sonolith.llm.line_dedup import drop_duplicate_lines, within
-from sonolith.operators import blocks, corpus
+from sonolith.operators import blocks, corpus, form
+from sonolith.operators import structure as st
 from sonolith.operators.stability import folded_tempo
 
 
@@ -79,3 +80,23 @@ def test_cosines_are_products_of_blocks(spark):
     assert got == {(1, 2): 0.6, (1, 3): None, (1, 4): 0.0, (1, 5): None, (2, 3): None, (2, 4): 0.0, (2, 5): None, (3, 4): None, (3, 5): None, (4, 5): None}
     some = {(r.i, r.j): r.sim for r in corpus.pair_cosine(df, "id", "v", df.filter("id in (1, 3)")).collect()}
     assert some == {(i, j): got[min(i, j), max(i, j)] for i in (1, 3) for j in range(1, 6) if i != j}
+
+
+def recordings(spark, rng, sizes):
+    return spark.createDataFrame([(r, i, [float(y) for y in rng.standard_normal(3)]) for r, n in enumerate(sizes) for i in range(n)], "recording int, frame long, v array<double>")
+
+
+def test_longest_repeats_without_the_pairs(spark):
+    frames = recordings(spark, np.random.default_rng(12), (70, 1, 33)).cache()
+    every = st.repeat_runs(form.similar_pairs(frames, "v", 0.0, 4), 0.0, 3, 4)
+    want = {tuple(r) for r in every.collect()}
+    assert {tuple(r) for r in form.similar_runs(frames, "v", 0.0, 4, 3, 10**9, block=8).collect()} == want
+    apart = sorted(map(tuple, form.longest_apart(every, 12).collect()))
+    for keep in (4, 4096):  # few are not enough: the rest is looked at
+        assert sorted(map(tuple, form.longest_repeats(frames, "v", 0.0, 4, 3, 12, keep=keep, block=8).collect())) == apart
+
+
+def test_blocks_of_a_recording_are_sent_to_a_bounded_number_of_stripes(spark):
+    frames = recordings(spark, np.random.default_rng(1), (400,))
+    sent = form._striped(frames, "v", 1, 4).groupBy("k").count().collect()
+    assert len(sent) == 100 and {r["count"] for r in sent} == {form.STRIPES}
