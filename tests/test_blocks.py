@@ -128,3 +128,26 @@ def test_components_against_numpy(spark):
     assert np.allclose(loadings, v, atol=1e-6) and np.allclose(explained, (s**2 / (s**2).sum())[:2])
     got = coords.orderBy("id").toPandas()[["pc1", "pc2"]].to_numpy()
     assert np.allclose(got, z @ v.T, atol=6e-4)
+
+
+def test_many_labellings_share_their_distances():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2304, 10))
+
+    def seconds(labellings):
+        labels = [[str(k % (w % 7 + 2)) for w in range(labellings)] for k in range(len(x))]
+        held = blocks._Held()
+        held.add(x[:2048], pa.array(labels[:2048]), False)
+        held.held()
+        rest = pa.array(labels[2048:])
+        start = time.perf_counter()
+        for _ in range(4):
+            held.add(x[2048:], rest, True)
+        return time.perf_counter() - start
+
+    one, many = (min(seconds(n) for _ in range(5)) for n in (1, 40))
+    assert many < 3.5 * one
