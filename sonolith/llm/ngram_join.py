@@ -328,14 +328,22 @@ def _similar(num: int, den: int):
     return F.pandas_udf(run, "boolean")
 
 
+def _once(cells: DataFrame) -> DataFrame:
+    """Of the cells (grp, block, doc_id, label) that hold the same members one, as they hold the same pairs."""
+    h = F.xxhash64("doc_id", "label")
+    held = cells.groupBy("grp", "block").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("y"))
+    return cells.join(held.groupBy("n", "x", "y").agg(F.min(F.struct("grp", "block")).alias("one")).select("one.*"), ["grp", "block"], "left_semi")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = 1024, few: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, and component_id, the least doc_id that links of Jaccard similarity num / den or more lead to.
 
     Copies of one set are a class and take part once. Documents that share a signature form a group, whose members are
     held against each other by their sketches, about ``block`` members at a time: a spanning forest of what may be
     similar is verified on the whole sets, first in ``few`` groups of each document, then what lies outside a group's
-    largest component against its other members, and where the forest held a pair that isn't similar every pair that may
-    be and still lies in different components. So no link is lost and no group is expanded into all its pairs.
+    largest component against its other members, of those only what finer sketches don't tell apart and of cells with the
+    same members one, and where the forest held a pair that isn't similar every pair that may be and still lies in
+    different components. So no link is lost and no group is expanded into all its pairs.
 
     Defined results: null or empty texts have no shingles and are their own component; a null doc_id takes no part and
     has no component; rows that repeat a doc_id are one vertex that all their texts link. ids are integers.
@@ -399,6 +407,9 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
         own = broadcast_if_small(cut(near.select("doc_id").distinct()))
         fine = reps.join(own, "doc_id", "left_semi").mapInArrow(tidy(_described(width, FINE)), "doc_id long, n long, d1 long, d2 long, sketch binary")
         fine = cut(fine.filter("n > 0").select("doc_id", "n", "d1", "sketch").distinct())
+        near = by_block(near, fine).mapInPandas(tidy(_near_others(num, den)), "grp long, block long, doc_id long, label long")
+        near = cut(_once(cut(near.distinct())))
+    if near.limit(1).count():
         two = cut(checked(near, fine, False, None))
         links = links.unionByName(two.filter("ok").select("a", "b"))
         failed = cut(two.filter(~F.col("ok")).select("grp", "block").distinct())

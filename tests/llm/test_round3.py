@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.llm import manifest, quality
+from sonolith.llm import manifest, ngram_join, quality
 from sonolith.llm import queries as q
 from sonolith.llm.periodic_runs import next_smaller, periodic_runs, runs_of
 
@@ -192,3 +192,9 @@ def test_traversal_keeps_two_subtrees_a_stack(n, levels):
         if run.gi_frame is not None:
             held = run.gi_frame.f_locals["exist"] + run.gi_frame.f_locals["desired"]
             assert sum(len(x) for t in held for x in t.nodes.values()) <= 2 * 8 * levels
+
+
+def test_cells_of_the_same_members_are_checked_once(spark):
+    rows = [(g, b, d, label) for g, b, held in [(1, 0, {5: 1, 6: 2}), (2, 3, {5: 1, 6: 2}), (2, 4, {5: 1, 6: 3}), (3, 0, {5: 1, 6: 2, 7: 2})] for d, label in held.items()]
+    got = ngram_join._once(spark.createDataFrame(rows, "grp long, block long, doc_id long, label long")).collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[:2] != (2, 3))
