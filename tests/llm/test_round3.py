@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.llm import manifest, ngram_join, quality
+from sonolith.llm import manifest, ngram_join, quality, suffix_dedup
 from sonolith.llm import queries as q
 from sonolith.llm.periodic_runs import next_smaller, periodic_runs, runs_of
 
@@ -198,3 +198,19 @@ def test_cells_of_the_same_members_are_checked_once(spark):
     rows = [(g, b, d, label) for g, b, held in [(1, 0, {5: 1, 6: 2}), (2, 3, {5: 1, 6: 2}), (2, 4, {5: 1, 6: 3}), (3, 0, {5: 1, 6: 2, 7: 2})] for d, label in held.items()]
     got = ngram_join._once(spark.createDataFrame(rows, "grp long, block long, doc_id long, label long")).collect()
     assert sorted(map(tuple, got)) == sorted(r for r in rows if r[:2] != (2, 3))
+
+
+def test_contexts_that_share_no_half_are_put_aside(spark):
+    rng, gram = np.random.default_rng(8), b"g" * suffix_dedup.GRAM
+    letters = lambda n: bytes(rng.integers(97, 103, n))
+    depth, half = 100, (100 - suffix_dedup.GRAM) // 2
+    before, after = letters(half), letters(half)
+    texts = [letters(40) + before + gram + letters(60), letters(40) + before + gram + letters(60), letters(60) + gram + after + letters(40), letters(50) + gram + after + letters(40), letters(70) + gram + letters(70)]
+    rows = []
+    for i, b in enumerate(texts):
+        far = b.index(gram)
+        near = max(0, far + depth - len(b))
+        rows.append((1, far, near, i, 1, i, 0, far, b[: far - near + depth]))
+    contexts = spark.createDataFrame(rows, suffix_dedup.CONTEXT.format(id="long"))
+    got = suffix_dedup._sharing_a_half(contexts, ["gram", "far", "near", "whole"], depth).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3]
