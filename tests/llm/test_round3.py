@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.llm import manifest, ngram_join, quality, suffix_dedup
+from sonolith.llm import line_dedup, manifest, ngram_join, quality, suffix_dedup
 from sonolith.llm import queries as q
 from sonolith.llm.periodic_runs import next_smaller, periodic_runs, runs_of
 
@@ -214,3 +214,12 @@ def test_contexts_that_share_no_half_are_put_aside(spark):
     contexts = spark.createDataFrame(rows, suffix_dedup.CONTEXT.format(id="long"))
     got = suffix_dedup._sharing_a_half(contexts, ["gram", "far", "near", "whole"], depth).collect()
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3]
+
+
+def test_lines_of_lengths_too_far_apart_are_no_pair():
+    held = pd.DataFrame({"grp": 1, "cell": 0, "odd": [True, False, False], "label": [1, 2, 3], "digest": [1, 2, 3], "s0": 0, "s1": 0, "length": [40, 31, 29]})
+    for near in (3, None):
+        got = pd.concat(line_dedup._across(20, near, 0.75)(iter([held])))
+        assert got[["a", "b"]].to_numpy().tolist() == [[1, 2]], near
+    text = pa.array(["  One, two\n\nthree--Four ", "é x"])
+    assert line_dedup.line_hashes(text, 1)[5].tolist() == [len(line_dedup.normalised(x)) for x in (b"  One, two", b"three--Four ", "é x".encode())]
